@@ -14,7 +14,9 @@ _ASCII_WORD, _ANY_WORD = "[A-Za-z0-9_]", r"[\p{L}\p{N}_]"
 
 
 def _edges(pattern: str, word: str) -> str:
-    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+    # in front of a letter or a group the edge opens a word, everywhere else it closes one
+    pattern = re.sub(r"\\b(?=[A-Za-z(])", lambda _m: f"(?<!{word})", pattern)
+    return pattern.replace(r"\b", f"(?!{word})")
 
 
 def ascii_edges(pattern: str) -> str:
@@ -38,16 +40,23 @@ def text(c) -> Column:
     return F.coalesce(col(c).cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(c) -> Column:
     return F.nullif(F.trim(col(c)), F.lit(""))
 
 
 def any_of(conds: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conds, F.lit(False))
+    conds = list(conds)
+    return reduce(lambda a, b: a | b, conds) if conds else F.lit(False)
 
 
 def all_of(conds: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds, F.lit(True))
+    conds = list(conds)
+    return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
 def any_contains(c, needles: Sequence[str]) -> Column:
@@ -58,14 +67,64 @@ def quoted_alternation(words: Sequence[str]) -> str:
     return "|".join(re.sub(r"([\\.\[\]{}()*+?^$|#-])", r"\\\1", w) for w in words)
 
 
-def first_rule(c, rules: Sequence[tuple], default=None, edges=ascii_edges) -> Column:
-    """Label of the first rule whose pattern is found in the text."""
+def _alternatives(pattern: str) -> list[str]:
+    """Top-level alternatives of a pattern."""
+    out, depth, start, i = [], 0, 0, 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            i += 1
+        elif ch in "([":
+            depth += 1
+        elif ch in ")]":
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            out.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return out + [pattern[start:]]
+
+
+def _required_literal(alternative: str) -> str:
+    """A piece of plain text every match of the alternative holds ('' if unknown)."""
+    flat = re.sub(r"\\b", "", alternative)
+    flat = re.sub(r"\[[^\]]*\][?*+]?(?:\{[^}]*\})?", "\0", flat)
+    while re.search(r"\([^()]*\)", flat):
+        flat = re.sub(r"\([^()]*\)[?*+]?", "\0", flat)
+    flat = re.sub(r"\\[a-zA-Z][?*+]?(?:\{[^}]*\})?", "\0", flat)
+    flat = re.sub(r"\\(.)", r"\1", flat) if not re.search(r"\\.[?*]", flat) else "\0"
+    flat = re.sub(r".[?*]|.\{[^}]*\}|[.+^$]", "\0", flat)
+    return max(flat.split("\0"), key=len)
+
+
+def find(c, pattern: str, edges=ascii_edges) -> Column:
+    """Whether a pattern (written in lower case) occurs in lower-case text.
+
+    Plain alternatives become substring tests. The others run as a regular expression
+    only where a piece of text they need is present, which spares most rows the
+    expensive scan.
+    """
     subject = col(c)
-    chain = None
-    for label, pattern in rules:
-        hit = subject.rlike("(?i)" + edges(pattern))
-        chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
-    return chain.otherwise(F.lit(default))
+    plain, guarded = [], []
+    for alt in _alternatives(pattern):
+        if re.fullmatch(r"[\w\s/'-]+", alt):
+            plain.append(subject.contains(alt))
+        else:
+            need = _required_literal(alt)
+            test = subject.rlike(edges(alt))
+            guarded.append(subject.contains(need) & test if need else test)
+    return any_of(plain + guarded)
+
+
+def first_rule(c, rules: Sequence[tuple], default=None, edges=ascii_edges) -> Column:
+    """Label of the first rule whose pattern is found in the lower-cased text."""
+    def chain(subject):
+        out = None
+        for label, pattern in rules:
+            hit = find(subject, pattern, edges)
+            out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
+        return out.otherwise(F.lit(default))
+    return let(F.lower(col(c)), chain)
 
 
 def extract_all(c, pattern: str, group: int = 1) -> Column:
@@ -86,8 +145,11 @@ def squeeze(c) -> Column:
     return F.trim(F.regexp_replace(col(c), SPACE, " "))
 
 
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def strip_spaces(c) -> Column:
-    return F.regexp_replace(col(c), SPACE, "")
+    return F.translate(col(c), BLANKS, "")
 
 
 def hours_between(later, earlier) -> Column:

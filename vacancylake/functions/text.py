@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as V
-from .base import (any_contains, any_of, ascii_edges, col, extract, extract_all, first_rule, js_round,
+from .base import (any_contains, any_of, ascii_edges, col, extract, extract_all, find, first_rule, let, js_round,
                    quoted_alternation, squeeze, strip_spaces, text, unicode_edges)
 
 
@@ -82,72 +82,84 @@ def plain(c) -> Column:
 
 
 def experience_text(c) -> Column:
-    base = plain(c)
-    t = strip_spaces(base)
-    def years(pattern, second=None):
+    def years(t, pattern, second=None):
         lo = F.regexp_extract(t, pattern, 1)
         if second is None:
             return F.when(lo != "", F.concat(lo, F.lit("年+")))
         return F.when(lo != "", F.concat(lo, F.lit("-"), F.regexp_extract(t, pattern, second), F.lit("年")))
-    level = lambda p: base.rlike("(?i)" + unicode_edges(r"\b(?:" + p + r")\b"))
-    return (F.when(base == "", F.lit(None))
-             .when(t.rlike(r"(?i)应届|无经验要求|经验不限|不限经验|no experience|entry level|entrylevel"), "应届/不限")
-             .otherwise(F.coalesce(
-                 years(r"(\d+)[-~至到](\d+)年", 2),
-                 years(r"(\d+)年(?:以上)?(?:工作)?经验"),
-                 years(r"(?i)(\d+)[-~to]+(\d+)years?", 2),
-                 years(r"(?i)(\d+)\+?years?(?:ofexperience)?"),
-                 F.when(level("principal|distinguished"), "12年+"),
-                 F.when(level("staff|lead"), "8年+"),
-                 F.when(level("senior"), "5年+"),
-                 F.when(level(r"mid[-\s]?level|intermediate"), "3年+"),
-                 F.when(level("junior"), "应届/不限"))))
+
+    def by_number(t):
+        return (F.when(t.rlike(r"(?i)应届|无经验要求|经验不限|不限经验|no experience|entry level|entrylevel"), "应届/不限")
+                 .otherwise(F.coalesce(
+                     F.when(t.contains("年"), F.coalesce(years(t, r"(\d+)[-~至到](\d+)年", 2),
+                                                        years(t, r"(\d+)年(?:以上)?(?:工作)?经验"))),
+                     F.when(F.lower(t).contains("year"), F.coalesce(
+                         years(t, r"(?i)(\d+)[-~to]+(\d+)years?", 2),
+                         years(t, r"(?i)(\d+)\+?years?(?:ofexperience)?"))))))
+
+    def read(base):
+        level = lambda *ws: let(F.lower(base), lambda b: find(b, "|".join(rf"\b{w}\b" for w in ws), unicode_edges))
+        return F.when(base != "", F.coalesce(
+            let(strip_spaces(base), by_number),
+            F.when(level("principal", "distinguished"), "12年+"),
+            F.when(level("staff", "lead"), "8年+"),
+            F.when(level("senior"), "5年+"),
+            F.when(level(r"mid[-\s]?level", "intermediate"), "3年+"),
+            F.when(level("junior"), "应届/不限")))
+
+    return let(plain(c), read)
+
+
+CONTEXT = "(?:经验|经历|从业)"
+YEARS = r"(\d{1,2})(?:[-~至到]\d{1,2})?年(?!级)"
+# "N年" with an experience word within 25 characters on either side
+YEARS_NEAR = f"(?<={CONTEXT}.{{0,23}}){YEARS}|{YEARS}(?:以上)?(?=.{{0,23}}{CONTEXT})"
 
 
 def min_years(*parts) -> Column:
     """Lowest number of years a posting asks for, or a floor implied by its level word."""
-    raw = F.lower(F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in parts]))
-    t = strip_spaces(raw)
-    # each "N年" with up to 25 characters on both sides; only hits near an experience word count
-    # (?=...) keeps the right-hand context available to the next hit
-    left = extract_all(t, r"(?:经验|经历|从业).{0,25}?(?<!\d)(\d{1,2})(?:[-~至到]\d{1,2})?年(?!级)")
-    right = extract_all(t, r"(\d{1,2})(?:[-~至到]\d{1,2})?年(?!级)(?=(?:以上)?.{0,25}?(?:经验|经历|从业))")
-    first_right = F.regexp_instr(t, F.lit(r"(\d{1,2})(?:[-~至到]\d{1,2})?年(?!级)(?=(?:以上)?.{0,25}?(?:经验|经历|从业))"))
-    first_left = F.regexp_instr(t, F.lit(r"(?:经验|经历|从业).{0,25}?(?<!\d)(\d{1,2})(?:[-~至到]\d{1,2})?年(?!级)"))
-    r0 = F.try_element_at(right, F.lit(1)).cast("int")
-    l0 = F.try_element_at(left, F.lit(1)).cast("int")
-    cjk = (F.when(r0.isNull(), l0).when(l0.isNull(), r0)
-            .when(first_left < first_right, l0).otherwise(r0))
-    level = lambda p: raw.rlike(ascii_edges(r"\b(?:" + p + r")\b"))
-    return F.coalesce(
-        cjk,
-        extract(t, r"(\d{1,2})[-~to]+\d{1,2}years?").cast("int"),
-        extract(t, r"(\d{1,2})\+?years?(?:ofexperience)?").cast("int"),
-        F.when(level("principal|distinguished"), F.lit(12)),
-        F.when(level("staff|lead"), F.lit(8)),
-        F.when(level("senior"), F.lit(5)),
-        F.when(level(r"mid[-\s]?level|intermediate"), F.lit(3)),
-        F.when(level(r"entry[-\s]?level|junior"), F.lit(0)))
+    def by_number(t):
+        near = F.regexp_extract(t, "(?:" + YEARS_NEAR + ")", 0)
+        return F.coalesce(
+            F.when(t.contains("年"), extract(near, r"^(\d{1,2})").cast("int")),
+            F.when(t.contains("year"), F.coalesce(
+                extract(t, r"(\d{1,2})[-~to]+\d{1,2}years?").cast("int"),
+                extract(t, r"(\d{1,2})\+?years?(?:ofexperience)?").cast("int"))))
+
+    def read(raw):
+        level = lambda p: find(raw, p)
+        return F.coalesce(
+            let(strip_spaces(raw), by_number),
+            F.when(level(r"\bprincipal\b|\bdistinguished\b"), F.lit(12)),
+            F.when(level(r"\bstaff\b|\blead\b"), F.lit(8)),
+            F.when(level(r"\bsenior\b"), F.lit(5)),
+            F.when(level(r"\bmid[-\s]?level\b|\bintermediate\b"), F.lit(3)),
+            F.when(level(r"\bentry[-\s]?level\b|\bjunior\b"), F.lit(0)))
+
+    return let(F.lower(F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in parts])), read)
 
 
 def education_level(c) -> Column:
-    base = plain(c)
-    t = strip_spaces(base)
-    chain = F.when(base == "", F.lit(None))
-    for label, _rank, pattern in V.EDUCATION_LEVELS:
-        chain = chain.when(t.rlike("(?i)" + pattern), label)
-    return chain.when(base.rlike("学历不限|不限学历"), "不限")
+    def read(base):
+        def level(t):
+            chain = F.when(base == "", F.lit(None))
+            for label, _rank, pattern in V.EDUCATION_LEVELS:
+                chain = chain.when(t.rlike(pattern), label)
+            return chain.when(base.rlike("学历不限|不限学历"), "不限")
+        return let(F.lower(strip_spaces(base)), level)
+    return let(plain(c), read)
 
 
 def education_rank(c) -> Column:
     """0 (no requirement) to 6 (doctorate), null when the text names no level."""
-    t = strip_spaces(text(c))
-    chain = F.when(t == "", F.lit(None).cast("int"))
-    for _label, rank, pattern in V.EDUCATION_LEVELS[:3]:
-        chain = chain.when(t.rlike("(?i)" + pattern), F.lit(rank))
-    for rank, pattern in V.EDUCATION_RANK_EXTRA:
-        chain = chain.when(t.rlike("(?i)" + pattern), F.lit(rank))
-    return chain
+    def rank_of(t):
+        chain = F.when(t == "", F.lit(None).cast("int"))
+        for _label, rank, pattern in V.EDUCATION_LEVELS[:3]:
+            chain = chain.when(t.rlike(pattern), F.lit(rank))
+        for rank, pattern in V.EDUCATION_RANK_EXTRA:
+            chain = chain.when(t.rlike(pattern), F.lit(rank))
+        return chain
+    return let(F.lower(strip_spaces(text(c))), rank_of)
 
 
 def _education_clauses(c) -> Column:
@@ -156,7 +168,7 @@ def _education_clauses(c) -> Column:
 
 def education_floor(c) -> Column:
     """Lowest rank among the clauses that are real requirements."""
-    hard = F.filter(_education_clauses(c), lambda x: ~x.rlike("(?i)" + ascii_edges(V.EDUCATION_PREFERRED)))
+    hard = F.filter(_education_clauses(c), lambda x: ~find(F.lower(x), V.EDUCATION_PREFERRED))
     return F.array_min(F.filter(F.transform(hard, education_rank), lambda r: r.isNotNull()))
 
 
@@ -173,12 +185,10 @@ def education_match(c, want) -> Column:
 
 
 def sponsorship(c) -> Column:
-    t = text(c)
-    has = lambda ps: any_of(t.rlike("(?i)" + unicode_edges(p)) for p in ps)
-    return (F.when(F.trim(t) == "", "unknown")
-             .when(has(V.SPONSOR_NONE), "none")
-             .when(has(V.SPONSOR_AVAILABLE), "available")
-             .otherwise("unknown"))
+    def signal(t):
+        has = lambda ps: any_of(find(t, p, unicode_edges) for p in ps)
+        return (F.when(has(V.SPONSOR_NONE), "none").when(has(V.SPONSOR_AVAILABLE), "available").otherwise("unknown"))
+    return let(F.lower(text(c)), signal)
 
 
 def salary_usd(c) -> Column:
@@ -231,10 +241,10 @@ def city_head(location) -> Column:
 
 
 def _function_of(t: Column) -> Column:
-    not_software = t.rlike(V.NON_SOFTWARE_DOMAIN) & ~t.rlike("(?i)" + ascii_edges(V.SOFTWARE_SIGNAL))
+    not_software = find(t, V.NON_SOFTWARE_DOMAIN) & ~find(t, V.SOFTWARE_SIGNAL)
     chain = None
     for label, pattern in V.JOB_FUNCTION_RULES:
-        hit = t.rlike("(?i)" + ascii_edges(pattern))
+        hit = find(t, pattern)
         if label == "研发":
             hit = hit & ~not_software
         chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
@@ -247,45 +257,52 @@ def fold(c) -> Column:
 
 
 def job_function(title, summary) -> Column:
-    by_title = _function_of(fold(title))
-    both = _function_of(fold(F.concat_ws(" ", F.nullif(text(title), F.lit("")), F.nullif(text(summary), F.lit("")))))
-    return F.when(~by_title.isin("其他", "职能"), by_title).when(both != "其他", both).otherwise(by_title)
+    """Function by the title; a title that tells nothing, or staff work, is read with the summary."""
+    both = fold(F.concat_ws(" ", F.nullif(text(title), F.lit("")), F.nullif(text(summary), F.lit(""))))
+    def of(by_title):
+        wide = let(let(both, _function_of), lambda w: F.when(w != "其他", w).otherwise(by_title))
+        return F.when(~by_title.isin("其他", "职能"), by_title).otherwise(wide)
+    return let(let(fold(title), _function_of), of)
 
 
 def declared_category(c) -> Column:
-    t = F.trim(text(c))
-    m = lambda p: t.rlike("(?i)" + ascii_edges(p))
-    return (F.when(t == "", F.lit(None)).when(m(V.DECLARED_INTERN), "实习")
-             .when(m(V.DECLARED_SOCIAL), "社招").when(m(V.DECLARED_CAMPUS), "校招"))
+    return let(F.lower(F.trim(text(c))), lambda t: (
+        F.when(t == "", F.lit(None)).when(find(t, V.DECLARED_INTERN), "实习")
+         .when(find(t, V.DECLARED_SOCIAL), "社招").when(find(t, V.DECLARED_CAMPUS), "校招")))
+
+
+def asks_experience(title, experience, summary) -> Column:
+    return F.coalesce(min_years(title, experience, summary) >= 2, F.lit(False))
+
 
+def _has(pattern, *cs) -> Column:
+    return let(F.lower(F.concat_ws(" ", *[text(c) for c in cs])), lambda t: find(t, pattern))
 
-def _signals(title, job_type_col, summary, url, company, experience):
-    find = lambda c, p: text(c).rlike("(?i)" + ascii_edges(p))
-    both = F.concat(text(title), F.lit(" "), text(summary))
-    return find, both, F.coalesce(min_years(title, experience, summary) >= 2, F.lit(False))
 
+def recruitment_category(title, job_type_col, summary, url, company, experience=None, senior=None) -> Column:
+    """Intern / campus / social by layered evidence; the default is social.
 
-def recruitment_category(title, job_type_col, summary, url, company, experience=None) -> Column:
-    """Intern / campus / social by layered evidence; the default is social."""
-    find, both, senior = _signals(title, job_type_col, summary, url, company, experience)
-    declared = declared_category(job_type_col)
-    return (F.when((declared == "实习") | find(title, V.INTERN_SIGNAL) | find(url, r"/(?:shixi|intern)(?:/|\?|$)"), "实习")
+    ``senior`` takes a precomputed ``asks_experience`` column.
+    """
+    senior = asks_experience(title, experience, summary) if senior is None else senior
+    declared, link = declared_category(job_type_col), F.lower(text(url))
+    return (F.when((declared == "实习") | _has(V.INTERN_SIGNAL, title) | link.rlike(r"/(?:shixi|intern)(?:/|\?|$)"), "实习")
              .when(senior, "社招")
              .when(declared.isNotNull(), declared)
-             .when(find(url, r"/(?:xiaozhao|campus)(?:[-_][a-z]+)?(?:/|\?|$)"), "校招")
-             .when(find(url, r"/(?:social|experienced)(?:[-_][a-z]+)?(?:/|\?|$)"), "社招")
-             .when(find(both, V.CAMPUS_SIGNAL), "校招")
+             .when(link.rlike(r"/(?:xiaozhao|campus)(?:[-_][a-z]+)?(?:/|\?|$)"), "校招")
+             .when(link.rlike(r"/(?:social|experienced)(?:[-_][a-z]+)?(?:/|\?|$)"), "社招")
+             .when(_has(V.CAMPUS_SIGNAL, title, summary), "校招")
              .when(text(company).contains("实习"), "实习")
              .when(text(company).rlike("校招|校园招聘"), "校招")
              .otherwise("社招"))
 
 
-def has_explicit_type(title, job_type_col, summary, url, company, experience=None) -> Column:
-    find, both, senior = _signals(title, job_type_col, summary, url, company, experience)
-    return (senior | (text(job_type_col) != "")
-            | find(url, r"/(?:shixi|intern|xiaozhao|campus|social|experienced)(?:/|\?|$)")
-            | find(title, V.INTERN_SIGNAL) | find(both, V.CAMPUS_SIGNAL)
-            | text(company).rlike("实习|校招|校园招聘"))
+def has_explicit_type(title, job_type_col, summary, url, company, experience=None, senior=None) -> Column:
+    senior = asks_experience(title, experience, summary) if senior is None else senior
+    return ((text(job_type_col) != "")
+            | F.lower(text(url)).rlike(r"/(?:shixi|intern|xiaozhao|campus|social|experienced)(?:/|\?|$)")
+            | _has(V.INTERN_SIGNAL, title) | _has(V.CAMPUS_SIGNAL, title, summary)
+            | text(company).rlike("实习|校招|校园招聘") | senior)
 
 
 def grad_class(title, job_type_col, summary) -> Column:

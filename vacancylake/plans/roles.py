@@ -84,11 +84,11 @@ select o_orderkey as id, o_orderkey % (select count(*) from {supplier}) as sourc
   case when o_orderstatus = 'O' then null else o_orderdate + interval '1' hour * (o_orderkey % 9) end as finished_at
 from {orders}"""
 
-ROLE_SQL["r_events"] = """
+ROLE_SQL["r_tracks"] = """
 select event_id as id, user_id, ts as created_at,
   case event_type when 'click' then 'apply_open' when 'view' then 'job_click' when 'error' then 'resume_parse'
     else event_type end as event,
-  concat('{{"result":"', case cast(value as int) % 4 when 0 then 'alive' when 1 then 'dead' when 2 then 'unknown' else 'error' end,
+  concat('{{"result":"', case cast(floor(value) as int) % 4 when 0 then 'alive' when 1 then 'dead' when 2 then 'unknown' else 'error' end,
     '","adapter":"', case user_id % 4 when 0 then 'moka' when 1 then 'beisen' when 2 then 'lever' else 'hotjob' end,
     '","diagnostics":{{"source":"', case when event_id % 3 = 0 then 'llm' else 'rules' end, '"}},"k":',
     coalesce(substr(props, 7, length(props) - 7), '0'), '}}') as payload
@@ -103,8 +103,8 @@ from {events}"""
 ROLE_SQL["r_ops"] = """
 select event_id as id, case event_type when 'view' then 'crawl' when 'click' then 'insight' when 'purchase' then 'gap_funnel'
     when 'error' then 'enrich' else 'discover' end as module,
-  ts as created_at, case cast(value as int) % 3 when 0 then 'success' when 1 then 'failed' else 'idle' end as status,
-  case cast(value as int) % 5 when 0 then concat('{{"added":"', cast(event_id % 7 as string), '"}}') when 1 then '{{}}'
+  ts as created_at, case cast(floor(value) as int) % 3 when 0 then 'success' when 1 then 'failed' else 'idle' end as status,
+  case cast(floor(value) as int) % 5 when 0 then concat('{{"added":"', cast(event_id % 7 as string), '"}}') when 1 then '{{}}'
     else concat('{{"added":', cast(event_id % 7 as string), ',"seen":', cast(event_id % 11 as string), '}}') end as metrics
 from {events}"""
 
