@@ -330,3 +330,65 @@ TITLE_ONLY_ANCHORS = ["工程师", "engineer", "研发", "developer", "软件",
 # --- hiring insight -------------------------------------------------------
 HEADCOUNT_APPROX = {"1-100": 50, "100-500": 300, "500-1000": 750, "1000-5000": 3000,
                     "5000-1万": 7500, "1万-5万": 30000, "5万-10万": 75000, "10万+": 150000}
+
+# English wording of role groups for overseas searches
+OVERSEAS_LEXICON = [
+    ["产品经理", "product manager", "pm", "product owner", "program manager"],
+    ["项目经理", "project manager", "program manager"],
+    ["算法", "algorithm", "machine learning", "ml engineer", "ai engineer"],
+    ["后端", "backend", "back-end", "server-side", "server side"],
+    ["前端", "frontend", "front-end", "web developer", "web engineer"],
+    ["数据分析", "data analyst", "analytics", "business analyst"],
+    ["运营", "operations", "ops", "business operations"],
+    ["设计", "designer", "ux", "ui", "product designer"],
+    ["市场", "marketing", "growth marketing", "brand marketing"],
+    ["销售", "sales", "business development", "account executive"],
+]
+
+# company to industry by name, first match wins
+INDUSTRY_RULES = [
+    ("金融", r"银行|证券|保险|基金|信托|期货|资管|财险|寿险|金融|支付|消费金融|小额贷|bank|securities|insurance|capital"),
+    ("医疗/医药", r"医药|制药|药业|药品|生物医药|生物科技|医疗|医院|健康|基因|诊断|器械|pharma|biotech|medical|health"),
+    ("汽车/出行", r"汽车|整车|车业|新能源车|乘用车|商用车|车联网|出行|motors|automotive"),
+    ("能源/化工", r"能源|电力|电网|石油|石化|化工|化学|新能源|光伏|风电|储能|电池|燃气|煤业|核电|energy|power|chemical|petro"),
+    ("物流/供应链", r"物流|快递|供应链|仓储|货运|运输|冷链|logistics|express|supply\s*chain"),
+    ("地产/建筑", r"地产|置业|房产|建筑|建设|建工|工程局|装饰|幕墙|real\s*estate|construction|properties"),
+    ("教育", r"教育|学校|培训|学院|课程|留学|education|academy"),
+    ("传媒/文娱", r"传媒|影视|文化|娱乐|院线|音乐|动漫|文娱|出版|media|entertainment"),
+    ("消费/零售", r"食品|饮料|乳业|乳品|零售|商超|百货|便利店|美妆|化妆品|日化|服饰|服装|鞋业|家居|家电|餐饮|连锁|消费|快消|retail|consumer|foods?|beverage"),
+    ("制造/工业", r"制造|机械|重工|工业|装备|设备|电子|半导体|芯片|集成电路|材料|钢铁|有色|精密|模具|纺织|轻工|manufactur|industrial|electronics|semiconductor"),
+    ("互联网/科技", r"互联网|科技|网络|信息技术|软件|数码|智能|大数据|云计算|游戏|网游|人工智能|物联网|tech|software|digital|internet|\bai\b|cloud"),
+]
+# a user's own wording of an industry
+USER_INDUSTRY_RULES = [
+    ("互联网/科技", r"互联网|科技|信息技术|软件|计算机|it|tech|游戏|人工智能|\bai\b|大数据|云"),
+    ("金融", r"金融|银行|证券|保险|基金|投资|fintech|finance"),
+    ("消费/零售", r"消费|零售|快消|fmcg|电商|食品|饮料|美妆|服装|retail|consumer"),
+    ("制造/工业", r"制造|工业|机械|电子|半导体|芯片|材料|硬件|manufactur|industrial"),
+    ("汽车/出行", r"汽车|车|出行|新能源车|automotive"),
+    ("医疗/医药", r"医疗|医药|生物|制药|健康|器械|pharma|bio|medical|health"),
+    ("能源/化工", r"能源|电力|化工|化学|新能源|光伏|电池|energy|chemical"),
+    ("地产/建筑", r"地产|房地产|建筑|建设|工程|real\s*estate|construction"),
+    ("物流/供应链", r"物流|供应链|快递|运输|logistics|supply"),
+    ("传媒/文娱", r"传媒|文娱|影视|文化|娱乐|内容|media|entertainment"),
+    ("教育", r"教育|培训|edu"),
+]
+COMPANY_ORIGINS = {
+    "中国": ["字节跳动", "腾讯", "阿里巴巴", "百度", "京东", "美团", "华为", "小米", "蔚来", "小鹏汽车", "地平线", "比亚迪", "宁德时代",
+            "快手", "小红书", "网易", "海尔", "shlab", "招商银行", "中国移动", "理想汽车", "商汤", "寒武纪"],
+    "美企": ["Apple", "Microsoft", "Amazon", "Tesla", "Google", "Meta", "J&J", "AbbVie", "Merck", "Anthropic", "Reddit", "Discord",
+            "Cloudflare", "Figma", "Twilio", "Airtable", "Nvidia", "Intel"],
+    "德企": ["Siemens", "Bosch", "SAP", "BMW", "Mercedes"],
+    "欧企": ["Roche", "Novartis", "Nestle", "L'Oreal"],
+    "日企": ["Sony", "Toyota", "Honda", "Panasonic", "Nintendo"],
+}
+FOREIGN_ADAPTERS = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "eightfold", "oracle", "amazon", "apple",
+                    "google", "microsoft", "tesla", "phenom", "avature"]
+
+# --- daily feed -----------------------------------------------------------
+RECALL_TIERS = [("role", 0, 5), ("company", 1, 2), ("cityNew", 2, 3)]
+RECALL_BUDGET = 900
+SCORE_TIERS = [(70, "high"), (45, "related"), (30, "explore")]
+SIGNAL_PRIORITY = {"CLOSED_OR_STALE": 1, "DEADLINE_SOON": 2, "STILL_OPEN": 3, "OPEN_UNVERIFIED": 4}
+EXPLORE_CAP = 5
+WAITING_CAP = 8

@@ -71,7 +71,7 @@ def normalize_location(c) -> Column:
     raw = F.trim(text(c))
     overseas = sorted({n for _a, n in V.OVERSEAS_CITY_ALIASES})
     aliases = sorted({a for a, _n in V.CITY_ALIASES + V.NATIONWIDE_ALIASES + V.REMOTE_ALIASES})
-    clean = F.filter(F.transform(F.split(raw, r"[,，、/|;；]+"), F.trim), lambda p: p != "")
+    clean = F.filter(F.transform(F.split(raw, r"[,，、/|;；]+"), lambda x: F.trim(x)), lambda p: p != "")
     named = F.transform(clean, lambda p: F.when(city_wide(p).isin(overseas), p).otherwise(city_wide(p)))
     known = F.exists(clean, lambda p: ~city_wide(p).isin(overseas)
                      & (F.lower(p).isin(aliases) | (city_wide(p) != p)))

@@ -163,7 +163,7 @@ def education_rank(c) -> Column:
 
 
 def _education_clauses(c) -> Column:
-    return F.filter(F.transform(F.split(text(c), r"(?i)[，,、;；]|\s+(?:and|or)\s+|或"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), r"(?i)[，,、;；]|\s+(?:and|or)\s+|或"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def education_floor(c) -> Column:

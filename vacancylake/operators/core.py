@@ -52,6 +52,8 @@ def spread_then_fill(df: DataFrame, owner: Sequence[str], group: Sequence[str],
                      limit: Column | int) -> DataFrame:
     """At most ``cap`` rows per group first; the rest only fills places left under ``limit``."""
     capped = df.withColumn("_over", (F.row_number().over(Window.partitionBy(*owner, *group).orderBy(*order)) > cap).cast("int"))
+    if not owner:
+        return capped.orderBy("_over", *order).limit(limit).drop("_over")
     w = Window.partitionBy(*owner).orderBy(F.col("_over"), *order)
     return capped.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= limit).drop("_over")
 
