@@ -92,7 +92,8 @@ def _required_literal(alternative: str) -> str:
     while re.search(r"\([^()]*\)", flat):
         flat = re.sub(r"\([^()]*\)[?*+]?", "\0", flat)
     flat = re.sub(r"\\[a-zA-Z][?*+]?(?:\{[^}]*\})?", "\0", flat)
-    flat = re.sub(r"\\(.)", r"\1", flat) if not re.search(r"\\.[?*]", flat) else "\0"
+    flat = re.sub(r"\\.[?*]", "\0", flat)
+    flat = re.sub(r"\\(.)", r"\1", flat)
     flat = re.sub(r".[?*]|.\{[^}]*\}|[.+^$]", "\0", flat)
     return max(flat.split("\0"), key=len)
 
@@ -141,11 +142,13 @@ def js_round(c) -> Column:
     return F.floor(col(c) + F.lit(0.5))
 
 
-def squeeze(c) -> Column:
-    return F.trim(F.regexp_replace(col(c), SPACE, " "))
+BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
-BLANKS = " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+def squeeze(c) -> Column:
+    """Blanks of any kind collapsed to one space; texts without runs of blanks skip the regular expression."""
+    spaced = F.translate(col(c), BLANKS, " " * len(BLANKS))
+    return let(spaced, lambda s: F.trim(F.when(s.contains("  "), F.regexp_replace(s, " +", " ")).otherwise(s)))
 
 
 def strip_spaces(c) -> Column:

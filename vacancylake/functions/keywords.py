@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed as V
@@ -37,14 +38,12 @@ def contains_literal(haystack: Column, term: Column) -> Column:
     return F.when(term.rlike(r"^[a-z0-9.+#-]{1,3}$"), haystack.contains(term) & F.regexp_like(haystack, quoted)).otherwise(haystack.contains(term))
 
 
-def _groups_in(subject: Column, groups: Groups, skip: Sequence[str] = (), among: Column | None = None) -> Column:
-    """Indexes of the groups any of whose terms the text holds; ``among`` limits the groups worth testing."""
+def _groups_in(subject: Column, groups: Groups, skip: Sequence[str] = ()) -> Column:
+    """Indexes of the groups any of whose terms the text holds."""
     flags = []
     for i, (_fn, terms) in enumerate(groups):
         use = [t for t in terms if t not in skip]
         hit = any_of(contains_term(subject, t) for t in use)
-        if among is not None and use:
-            hit = F.array_contains(among, i) & hit
         flags.append(F.when(hit, F.lit(i)) if use else F.lit(None).cast("int"))
     return F.array_compact(F.array(*flags))
 
@@ -55,20 +54,78 @@ def vocabulary(groups: Groups | None = None, overseas: bool = False) -> list[tup
     return base + [(None, g) for g in V.OVERSEAS_LEXICON] if overseas else base
 
 
+HITS = "struct<title_groups:array<int>,body_groups:array<int>,all_groups:array<int>>"
+_SCANNERS: dict = {}
+
+
+def _scanner(terms: tuple):
+    """Multi-pattern automaton of (term, group, short, anchor), built once per worker."""
+    if terms not in _SCANNERS:
+        import ahocorasick
+        by_term: dict = {}
+        for term, group, short, anchor in terms:
+            by_term.setdefault(term, []).append((group, short, anchor, len(term)))
+        machine = ahocorasick.Automaton()
+        for term, uses in by_term.items():
+            machine.add_word(term, uses)
+        machine.make_automaton()
+        _SCANNERS[terms] = machine
+    return _SCANNERS[terms]
+
+
+def _group_scan(groups: Groups):
+    """Arrow function: one pass over a text finds every vocabulary term it holds.
+
+    The text is read once instead of once per term: with 130 terms that is some fifty
+    times less work than substring tests.
+    """
+    from pyspark.sql.types import StructType
+    fold_term = lambda t: " ".join(t.lower().split())
+    terms = tuple((fold_term(t), i, is_short(fold_term(t)), t in V.TITLE_ONLY_ANCHORS) for i, g in enumerate(groups) for t in g[1])
+    schema = StructType.fromDDL(HITS[len("struct<"):-1].replace(":", " "))
+
+    @F.pandas_udf(schema)
+    def scan(title: pd.Series, body: pd.Series) -> pd.DataFrame:
+        machine, word = _scanner(terms), frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+        rows = []
+        for t, b in zip(title, body):
+            whole = f"{t} {b}" if t and b else t or b
+            cut, n = len(t), len(whole)
+            in_title, in_body, anywhere = set(), set(), set()
+            for end, uses in machine.iter(whole):
+                for group, short, anchor, size in uses:
+                    start = end - size + 1
+                    if short and ((start > 0 and whole[start - 1] in word) or (end + 1 < n and whole[end + 1] in word)):
+                        continue
+                    anywhere.add(group)
+                    if end < cut:
+                        in_title.add(group)
+                    elif start >= cut and not anchor:
+                        in_body.add(group)
+            rows.append((sorted(in_title), sorted(in_body), sorted(anywhere)))
+        return pd.DataFrame(rows, columns=["title_groups", "body_groups", "all_groups"])
+
+    return scan
+
+
 def with_posting_features(jobs: DataFrame, groups: Groups) -> DataFrame:
     """Adds kw: struct(fn, title_groups, body_groups, all_groups, title, body) to postings."""
     part = lambda c: F.nullif(text(c), F.lit(""))
     body = fold(F.concat_ws(" ", part("company"), part("location"), part("job_type"), part("summary"), part("salary_text")))
-    every = fold(F.concat_ws(" ", part("title"), part("company"), part("location"), part("job_type"), part("summary"), part("salary_text")))
-    # a group the whole text does not hold cannot be in a part of it
-    def read(t, b, a):
-        groups_of = lambda among: F.struct(
-            job_function("title", "summary").alias("fn"), _groups_in(t, groups, among=among).alias("title_groups"),
-            _groups_in(b, groups, V.TITLE_ONLY_ANCHORS, among).alias("body_groups"), among.alias("all_groups"),
-            t.alias("title"), b.alias("body"))
-        return let(_groups_in(a, groups), groups_of)
+    j = jobs.withColumn("_t", fold("title")).withColumn("_b", body)
+    try:
+        import ahocorasick  # noqa: F401
+        j = j.withColumn("_g", _group_scan(groups)("_t", "_b"))
+    except ImportError:
+        every = F.concat_ws(" ", part("_t"), part("_b"))
+        j = j.withColumn("_g", let(every, lambda a: F.struct(
+            let(F.col("_t"), lambda t: _groups_in(t, groups)).alias("title_groups"),
+            let(F.col("_b"), lambda b: _groups_in(b, groups, V.TITLE_ONLY_ANCHORS)).alias("body_groups"),
+            _groups_in(a, groups).alias("all_groups"))))
     # bound once: a plain struct would be taken apart and its fields computed at every use
-    return jobs.withColumn("kw", let(fold("title"), lambda t: let(body, lambda b: let(every, lambda a: read(t, b, a)))))
+    kw = F.struct(job_function("title", "summary").alias("fn"), F.col("_g.title_groups").alias("title_groups"), F.col("_g.body_groups").alias("body_groups"),
+                  F.col("_g.all_groups").alias("all_groups"), F.col("_t").alias("title"), F.col("_b").alias("body"))
+    return j.withColumn("kw", let(kw, lambda k: k)).drop("_t", "_b", "_g")
 
 
 def _targets(groups: Groups) -> dict[int, int]:

@@ -308,11 +308,15 @@ def has_explicit_type(title, job_type_col, summary, url, company, experience=Non
 def grad_class(title, job_type_col, summary) -> Column:
     """Latest graduation year named with a class word, null without one."""
     t = F.concat_ws(" ", *[F.nullif(text(c), F.lit("")) for c in (title, job_type_col, summary)])
-    found = F.concat(*[extract_all(t, p) for p in V.GRAD_CLASS_PATTERNS])
-    years = F.transform(F.transform(found, lambda y: y.cast("int")),
-                        lambda y: F.when(y < 100, y + 2000).otherwise(y))
     lo, hi = V.GRAD_CLASS_RANGE
-    return F.array_max(F.filter(years, lambda y: (y >= lo) & (y <= hi)))
+
+    def read(s):
+        found = F.concat(*[extract_all(s, p) for p in V.GRAD_CLASS_PATTERNS])
+        years = F.transform(F.transform(found, lambda y: y.cast("int")), lambda y: F.when(y < 100, y + 2000).otherwise(y))
+        # without one of these words no pattern can match
+        worded = any_contains(s, ["届", "招", "应届", "实习生"]) | any_contains(F.lower(s), ["class", "graduate", "campus"])
+        return F.when(worded, F.array_max(F.filter(years, lambda y: (y >= lo) & (y <= hi))))
+    return let(t, read)
 
 
 def is_valid_active(status, summary) -> Column:
