@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed as V
-from .base import col, text, extract, any_of
+from .base import any_of, col, extract, quoted_alternation, text
 
 
 def canonical_url(url) -> Column:
@@ -16,10 +16,10 @@ def canonical_url(url) -> Column:
     s = F.trim(col(url))
     base = F.regexp_replace(F.substring_index(s, "?", 1), r"/+$", "")
     query = F.when(s.contains("?"), F.substr(s, F.instr(s, "?") + F.lit(1)))
-    def keep(part):
-        key = F.lower(F.substring_index(part, "=", 1))
-        return (part != "") & ~key.startswith(V.TRACKING_PREFIX) & ~key.isin(V.TRACKING_KEYS)
-    kept = F.array_join(F.filter(F.split(F.coalesce(query, F.lit("")), "&", -1), keep), "&")
+    # a parameter is dropped by its name; the separators it leaves behind are tidied up after
+    names = V.TRACKING_PREFIX + "[^&=]*|" + quoted_alternation(V.TRACKING_KEYS)
+    rest = F.regexp_replace(F.coalesce(query, F.lit("")), f"(?i)(?<=^|&)(?:{names})(?:=[^&]*)?(?=&|$)", "")
+    kept = F.regexp_replace(F.regexp_replace(rest, "&+", "&"), "^&|&$", "")
     return (F.when(s.isNull() | (s == "") | s.contains("#"), s)
              .otherwise(F.concat(base, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))))
 
