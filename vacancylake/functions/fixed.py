@@ -382,8 +382,9 @@ COMPANY_ORIGINS = {
     "欧企": ["Roche", "Novartis", "Nestle", "L'Oreal"],
     "日企": ["Sony", "Toyota", "Honda", "Panasonic", "Nintendo"],
 }
-FOREIGN_ADAPTERS = ["greenhouse", "lever", "ashby", "workday", "smartrecruiters", "eightfold", "oracle", "amazon", "apple",
-                    "google", "microsoft", "tesla", "phenom", "avature"]
+FOREIGN_ADAPTERS = [
+    "apple", "apple_cn", "siemens",
+]
 
 # --- daily feed -----------------------------------------------------------
 RECALL_TIERS = [("role", 0, 5), ("company", 1, 2), ("cityNew", 2, 3)]

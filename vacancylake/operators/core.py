@@ -120,11 +120,11 @@ def match_patterns(patterns: DataFrame, pattern_col: str, texts: DataFrame, text
     """Pairs with ``text ilike pattern``, by the longest literal run of the pattern."""
     p = patterns.withColumn("_lit", needle_of(pattern_col))
     narrow = contains_join(texts, text_col, p, "_lit", F.expr(f"{text_col} ilike {pattern_col}")).drop("_lit")
-    # a pattern of wildcards only has nothing to look up: it can match any text of its length
+    # a pattern of wildcards only has nothing to look up: "_" runs are met by length, "%" meets every text
     bare = p.where((F.col("_lit") == "") & (text(pattern_col) != "")).drop("_lit")
-    lengths = texts.withColumn("_len", F.length(text(text_col)))
-    bare = bare.withColumn("_min", F.length(F.replace(text(pattern_col), F.lit("%"), F.lit(""))))
-    wide = lengths.join(bare, F.expr(f"_len >= _min and {text_col} ilike {pattern_col}")).drop("_len", "_min")
+    bare = bare.withColumn("_key", F.when(F.col(pattern_col).contains("%"), -1).otherwise(F.length(pattern_col)))
+    keyed = texts.withColumn("_key", F.explode(F.array(F.length(text(text_col)), F.lit(-1))))
+    wide = keyed.join(bare, "_key").where(F.expr(f"{text_col} ilike {pattern_col}")).drop("_key")
     return narrow.unionByName(wide.select(*narrow.columns))
 
 

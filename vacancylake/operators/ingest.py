@@ -13,9 +13,13 @@ from ..functions import dates as D, fixed as V, geo as G, text as T, tokens as K
 from ..functions.base import all_of, any_contains, any_of, at, col, quoted_alternation, text
 from . import core as C
 
-# fixed value: titles of navigation links that are never postings; extend by parameter
-NAVIGATION_TITLES = ["home", "about us", "careers", "jobs", "search jobs", "login", "sign in", "logout", "stay connected",
-                     "join us", "contact us", "首页", "关于我们", "加入我们", "职位搜索", "登录", "注册", "更多"]
+# fixed value: titles of navigation links that are never postings
+NAVIGATION_TITLES = [
+    "首页", "全部岗位", "岗位搜索", "社会招聘", "校园招聘", "实习生招聘", "博士招聘", "招聘帮助", "关于百度", "使用百度前必读",
+    "发展在京东", "科技人才招聘", "了解海尔", "login", "faqs & support", "english", "deutsch", "español", "français", "nederlands",
+    "portuguese", "čestina", "中文 (简体)", "中文 (繁体)", "日本語", "job search", "all jobs", "ai recommendations",
+    "professional", "campus", "intern", "stay connected", "logout",
+]
 
 
 def reject_reason(title, jd_url, source_url, navigation_titles: Sequence[str] = NAVIGATION_TITLES) -> Column:

@@ -50,7 +50,7 @@ def hiring_signal(active, trend, band) -> Column:
 def headcount_band(n) -> Column:
     """Fixed value bands of a headcount."""
     c = col(n)
-    return (F.when(c < 100, "1-100").when(c < 500, "100-500").when(c < 1000, "500-1000").when(c < 5000, "1000-5000").when(c < 10000, "5000-1万")
+    return (F.when(c <= 0, F.lit(None)).when(c < 100, "1-100").when(c < 500, "100-500").when(c < 1000, "500-1000").when(c < 5000, "1000-5000").when(c < 10000, "5000-1万")
              .when(c < 50000, "1万-5万").when(c < 100000, "5万-10万").when(c.isNotNull(), "10万+"))
 
 

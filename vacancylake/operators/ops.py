@@ -230,7 +230,8 @@ def band(value: Column, good: float, warn: float, higher: bool = True) -> Column
     return F.when(value.isNull(), "empty").when(value < good, "good").when(value <= warn, "warn").otherwise("bad")
 
 
-THRESHOLDS = {"click": (0.99, 0.95), "healthy_companies": (28, 24), "coverage": (90, 80), "zero_warn": 1, "zero_bad": 3}
+# fixed values: (good, warn) limits
+THRESHOLDS = {"click": (0.99, 0.9), "healthy_companies": (28, 24), "coverage": (90, 60), "zero_warn": 1, "zero_bad": 5}
 
 
 def health_verdict(m: DataFrame, th=THRESHOLDS) -> DataFrame:

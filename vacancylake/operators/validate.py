@@ -10,7 +10,7 @@ from ..functions.scoring import unique_strings
 SURNAMES = ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文")
 PII = [r"(?:\+?86[-\s]?)?1[3-9]\d[-\s]?\d{4}[-\s]?\d{4}", r"(?<![A-Za-z0-9_])\d{17}[\dXx](?![A-Za-z0-9_])", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
        r"(?:^|\s)@[A-Za-z0-9_\-一-龥]{2,}", "[" + SURNAMES + "](?:总监|经理|主管|老板|老师|总|姐|哥)", "张三|李四|王五|赵六"]
-CONTENT_MAX = 500
+CONTENT_MAX = 200
 FORBIDDEN_KEYS = ["resume", "resume_text", "phone", "email", "name", "id_card", "address"]
 
 

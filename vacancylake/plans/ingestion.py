@@ -99,8 +99,8 @@ def _(t):
 
 
 REJ = """case when trim(tt) = '' then 'missing title' when trim(u) = '' then 'missing jd_url' when not regexp_matches(u, '^https?://[^/?#]+') then 'invalid jd_url' when k = sk and not regexp_matches(u, '[?&]id=') then 'jd_url equals source url'
-  when lower(replace(tt, ' ', '')) in ('searchjobs', 'login') then 'navigation title' when regexp_matches(u, '^https?://[^/?#]*/*([?#/]*)$') then 'homepage is not a job detail' when contains(lower(u), '/home') then 'navigation url' end"""
-RAWX = """select page_id, case page_id % 11 when 0 then '  ' when 1 then 'Search Jobs' else concat('Job ', cast(page_id as {t})) end as tt, case page_id % 13 when 0 then '' when 1 then 'ftp://x/y' when 2 then 'https://a.example.com/jobs' when 3 then 'https://a.example.com/jobs/?id=7' when 4 then 'https://a.example.com/' when 5 then 'https://a.example.com/home/x' else url end as u from pages"""
+  when lower(replace(tt, ' ', '')) in ('jobsearch', 'login') then 'navigation title' when regexp_matches(u, '^https?://[^/?#]*/*([?#/]*)$') then 'homepage is not a job detail' when contains(lower(u), '/home') then 'navigation url' end"""
+RAWX = """select page_id, case page_id % 11 when 0 then '  ' when 1 then 'Job Search' else concat('Job ', cast(page_id as {t})) end as tt, case page_id % 13 when 0 then '' when 1 then 'ftp://x/y' when 2 then 'https://a.example.com/jobs' when 3 then 'https://a.example.com/jobs/?id=7' when 4 then 'https://a.example.com/' when 5 then 'https://a.example.com/home/x' else url end as u from pages"""
 
 
 @query("quality_gate", f"select page_id, {REJ} as reason from (select *, regexp_replace(regexp_replace(u, '^https?://', ''), '[?].*$|/+$|/+[?].*$', '') as k, 'a.example.com/jobs' as sk from ({RAWX.replace('{t}', 'varchar')}))")
