@@ -383,7 +383,8 @@ COMPANY_ORIGINS = {
     "日企": ["Sony", "Toyota", "Honda", "Panasonic", "Nintendo"],
 }
 FOREIGN_ADAPTERS = [
-    "apple", "apple_cn", "siemens",
+    "apple", "apple_cn", "siemens", "greenhouse", "lever", "ashby", "smartrecruiters", "successfactors",
+    "workday", "eightfold", "oracle", "amazon", "phenom", "microsoft", "google",
 ]
 
 # --- daily feed -----------------------------------------------------------
