@@ -4,20 +4,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import line_dedup, url_filter
-from vacancylake.llm.common import table
+from vacancylake.llm import language, line_dedup, quality, secrets, url_filter
+from vacancylake.llm.common import fold, table
 
 #: Rules of the URL query (action, host, path) and the host labels whose pages make up its list: fixed values.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 LISTED_LABELS = ("ads-track", "spam-farm")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.training_sample(docs))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = line_dedup.dedup_lines(docs)
     return made.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind_no"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind_no"] < 3)
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.host_path(F.col("url"))
@@ -25,7 +42,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {"op3_line_dedup": op3_line_dedup, "op8_url_filter": op8_url_filter}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op7_secrets, op8_url_filter)}
 
 ORACLES = {
     "op3_line_dedup": r"""
