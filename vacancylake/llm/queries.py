@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import language, line_dedup, packing, quality, secrets, url_filter
+from vacancylake.llm import language, line_dedup, packing, pieces, quality, secrets, url_filter
 from vacancylake.llm.common import fold, table
 
 #: Rules of the URL query (action, host, path) and the host labels whose pages make up its list: fixed values.
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.col("line_dedup.text"), 256).alias("kept_sha256"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op6_packing, op7_secrets, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op5_pieces, op6_packing, op7_secrets, op8_url_filter)}
 
 ORACLES = {
     "op3_line_dedup": r"""
