@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacancylake.llm import embedding_dedup, language, line_dedup, mtree, packing, pieces, quality, secrets, url_filter
+from vacancylake.llm import embedding_dedup, jaccard_join, language, line_dedup, mtree, packing, pieces, quality, secrets, url_filter
 from vacancylake.llm.common import fold, table
 
 #: Rules of the URL query (action, host, path) and the host labels whose pages make up its list: fixed values.
@@ -55,11 +55,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, listed)
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_top_k, op5_pieces, op6_packing, op7_secrets, op8_url_filter, op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_language, op3_line_dedup, op4_top_k, op5_pieces, op6_packing, op7_secrets, op8_url_filter, op9_jaccard_join, op10_embedding_dedup)}
 
 ORACLES = {
     "op3_line_dedup": r"""
