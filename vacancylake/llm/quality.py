@@ -112,7 +112,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: i
     if min(ones, n - ones) < 1:
         share = (ones + 1) / (n + 2)
         return RuleEnsemble((), float(-_logit(1 - share)))
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train.coalesce(max(1, min(8, n // 5000)))).select("label", "features").cache()
+    train = train.repartition(max(1, min(8, n // 5000)), "doc_id").sortWithinPartitions("doc_id", *names)  # the same rows in the same order give the same trees
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train).select("label", "features").cache()
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, featureSubsetStrategy="0.6", seed=seed).fit(vectors)
     vectors.unpersist()
     paths = [p for k in range(TREES) for p in tree_paths(forest._java_obj.trees()[k].rootNode(), names)]
@@ -120,7 +121,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: i
     if not rules:
         return RuleEnsemble((), float(_logit((ones + 1) / (n + 2))))
     stat = {c: F.col(c) for c in names}
-    binary = train.coalesce(max(1, min(8, n // 5000))).select("label", F.array(*[holds(r, stat).cast("double") for r in rules]).alias("r"))
+    binary = train.select("label", F.array(*[holds(r, stat).cast("double") for r in rules]).alias("r"))
     binary = binary.select("label", array_to_vector("r").alias("features")).cache()
     lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=80, standardization=False).fit(binary)
     binary.unpersist()
