@@ -30,19 +30,29 @@ def company_aggregates(jobs: DataFrame, now) -> DataFrame:
     return jobs.where("status = 'active'").groupBy("company").agg(*active_measures(now))
 
 
+def posting_flags(jobs: DataFrame, now) -> DataFrame:
+    """Active postings as company, title and 0/1 measures: what joins need, without the texts."""
+    n = at(now)
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    return jobs.where("status = 'active' and company is not null").select(
+        "company", "title", F.lit(1).cast("long").alias("active_total"), one(F.length(F.trim(F.col("summary"))) >= 60).alias("healthy"),
+        one(F.col("first_seen_at") > n - F.expr("interval 7 days")).alias("new_7d"),
+        one(F.col("enrich_checked_at") > n - F.expr("interval 72 hours")).alias("checked_72h"))
+
+
 def brand_rollup(jobs: DataFrame, dim: DataFrame, now) -> DataFrame:
-    """Counts of a brand's postings inside its parent's portal, per list pattern.
+    """Counts of a brand's postings inside its parent's portal, per list row (pos).
 
     The few portal companies are found on distinct names first; postings are then
-    read by equality on the company.
+    read by equality on the company. List rows may share a pattern.
     """
-    rules = dim.where("parent_pattern is not null and size(brand_tokens) > 0").select("pattern", "parent_pattern", "brand_tokens")
+    rules = dim.where("parent_pattern is not null and size(brand_tokens) > 0").select("pos", "pattern", "parent_pattern", "brand_tokens").distinct()
     names = jobs.where("status = 'active' and company is not null").select("company").distinct()
     portals = (C.match_patterns(rules, "parent_pattern", names, "company")
-               .where("not (company ilike pattern)").select("company", "pattern", "brand_tokens"))
-    hits = jobs.where("status = 'active'").join(portals, "company").where(
+               .where("not (company ilike pattern)").select("company", "pos", "brand_tokens").distinct())
+    hits = posting_flags(jobs, now).join(portals, "company").where(
         F.exists("brand_tokens", lambda b: F.lower(F.col("title")).contains(F.lower(b))))
-    return hits.groupBy("pattern").agg(*active_measures(now))
+    return hits.groupBy("pos").agg(*[F.sum(m).alias(m) for m in MEASURES])
 
 
 def must_apply_coverage(jobs: DataFrame, dim: DataFrame, now, min_parent: int = 3) -> DataFrame:
@@ -51,9 +61,9 @@ def must_apply_coverage(jobs: DataFrame, dim: DataFrame, now, min_parent: int =
     matched = C.match_patterns(dim.select("pattern").distinct(), "pattern", per_company, "company")
     direct = matched.groupBy("pattern").agg(*[F.sum(m).alias(m) for m in MEASURES])
     rollup = brand_rollup(jobs, dim, now).where(F.col("healthy") >= min_parent)
-    rollup = rollup.select("pattern", *[F.col(m).alias("p_" + m) for m in MEASURES])
+    rollup = rollup.select("pos", *[F.col(m).alias("p_" + m) for m in MEASURES])
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return (dim.select("pos", "name", "pattern").join(direct, "pattern", "left").join(rollup, "pattern", "left")
+    return (dim.select("pos", "name", "pattern").join(direct, "pattern", "left").join(rollup, "pos", "left")
             .select("pos", "name", "pattern", *[(z(m) + z("p_" + m)).alias(m) for m in MEASURES],
                     z("healthy").alias("direct_healthy"), z("p_healthy").alias("parent_healthy"),
                     (z("p_healthy") > 0).alias("via_parent")))
@@ -147,11 +157,16 @@ def watch_queue(requests: DataFrame) -> DataFrame:
     return g.withColumn("rank", rank)
 
 
+# fixed values: states that new evidence decides; any other earlier state is the outcome of a failed attempt and stays
+EVIDENCE_STATES = ["", "healthy", "thin_only", "no_active_jobs"]
+
+
 def gap_census(jobs: DataFrame, sources: DataFrame, dim: DataFrame, previous: DataFrame, now) -> DataFrame:
-    """State of every list company: healthy, thin_only, no_active_jobs, the previous state, or unknown."""
+    """State of every list company: healthy, thin_only, no_active_jobs, an earlier failure state, or unknown."""
     cov = must_apply_coverage(jobs, dim, now)
     flags = source_flags(dim, sources)
-    prev = previous.select("pattern", F.col("state").alias("prev_state"), "attempts")
+    failed = F.when(~F.col("state").isin(EVIDENCE_STATES), F.col("state"))
+    prev = previous.select("pattern", failed.alias("prev_state"), "attempts")
     return (cov.join(flags.drop("name"), "pos").join(prev, "pattern", "left")
             .withColumn("state", F.when(F.col("healthy") > 0, "healthy").when(F.col("active_total") > 0, "thin_only")
                         .when(F.col("has_enabled"), "no_active_jobs").otherwise(F.coalesce("prev_state", F.lit("unknown"))))

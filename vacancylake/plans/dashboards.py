@@ -97,12 +97,7 @@ def brand_dim(t):
 
 @query("must_apply_coverage", MUST)
 def _(t):
-    return CV.must_apply_coverage(t.jobs, unique_patterns(brand_dim(t)), NOW).drop("name", "pattern")
-
-
-def unique_patterns(dim):
-    # suppliers share their last two digits at larger scales; a pattern may serve several entries
-    return dim
+    return CV.must_apply_coverage(t.jobs, brand_dim(t), NOW).drop("name", "pattern")
 
 
 @query("assign_owner", """select company, owner, pos from (select c.company, p.name as owner, p.pos, row_number() over (partition by c.company order by p.pos) rn
@@ -121,13 +116,18 @@ def _(t):
     return CV.source_flags(t.list, s)
 
 
+LEDGER = "select pattern, ['healthy', 'thin_only', 'no_active_jobs', 'anti_bot', 'login_wall', 'manual_review'][min(pos) % 6 + 1] as state, cast(min(pos) % 4 as int) as attempts"
+
+
 @query("gap_census", f"""with a as (select company, {AGG} from r_jobs where status = 'active' group by company) select p.pos, case when coalesce(sum(a.healthy), 0) > 0 then 'healthy' when coalesce(sum(a.active_total), 0) > 0 then 'thin_only'
-  when (select bool_or(s.enabled) from r_sources s where s.company ilike p.pattern) then 'no_active_jobs' else 'unknown' end as state, cast(coalesce(sum(a.active_total), 0) as bigint) as active_total from r_list p left join a on a.company ilike p.pattern group by p.pos, p.pattern""")
+  when (select bool_or(s.enabled) from r_sources s where s.company ilike p.pattern) then 'no_active_jobs' when min(v.state) not in ('healthy', 'thin_only', 'no_active_jobs') then min(v.state) else 'unknown' end as state, any_value(coalesce(v.attempts, 0)) as attempts, cast(coalesce(sum(a.active_total), 0) as bigint) as active_total from r_list p left join a on a.company ilike p.pattern left join ({LEDGER} from r_list group by pattern) v on v.pattern = p.pattern group by p.pos, p.pattern""")
 def _(t):
     dim = t.list.withColumn("parent_pattern", F.lit(None).cast("string")).withColumn("brand_tokens", F.array().cast("array<string>"))
     s = t.sources.withColumn("board", U.source_board("adapter_name", "source_url"))
-    prev = t.list.select("pattern").distinct().select("pattern", F.lit("seen").alias("state"), F.lit(1).alias("attempts")).where("pattern = ''")
-    return CV.gap_census(t.jobs, s, dim, prev, NOW).select("pos", "state", "active_total")
+    first = t.list.groupBy("pattern").agg(F.min("pos").alias("pos"))
+    state = F.element_at(F.array(*map(F.lit, ("healthy", "thin_only", "no_active_jobs", "anti_bot", "login_wall", "manual_review"))), (F.col("pos") % 6 + 1).cast("int"))
+    prev = first.select("pattern", state.alias("state"), (F.col("pos") % 4).cast("int").alias("attempts"))
+    return CV.gap_census(t.jobs, s, dim, prev, NOW).select("pos", "state", "attempts", "active_total")
 
 
 @query("industry_coverage", "select industry, count(*) as total, count(*) filter (enabled) as healthy, count(*) filter (enabled) * 1.0 / count(*) as ratio from r_sources group by industry")
