@@ -1,6 +1,8 @@
 """Text columns: cleaning, hashing, recruitment type, experience, education, pay."""
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed as V
@@ -17,18 +19,32 @@ def clean_title(c) -> Column:
     return F.trim(F.regexp_replace(squeeze(strip_nul(c)), r"\s+[-–—]\s+.*$", ""))
 
 
+#: Named entities come from the standard library's table; a no-break space becomes a blank.
+ENTITIES = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&nbsp;": " ", "&apos;": "'"}
+ENTITY = r"&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|[A-Za-z][A-Za-z0-9]{1,8};)"
+
+
+def _character(entity: Column) -> Column:
+    """The character an entity stands for; the entity itself if it is unknown."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    digits = F.regexp_extract(entity, r"^&#([0-9]+);$", 1)
+    hexes = F.when(digits != "", F.hex(digits.try_cast("bigint"))).otherwise(F.regexp_extract(entity, r"^&#[xX]([0-9a-fA-F]+);$", 1))
+    code = F.conv(hexes, 16, 10).try_cast("bigint")
+    real = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    char = F.when(real, F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(hexes, 8, "0")), "UTF-32")))
+    return F.coalesce(F.when(hexes != "", char), F.try_element_at(named, entity), entity)
+
+
 def _unescape_once(c: Column) -> Column:
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                         ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"),
-                         ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&bull;", "•"),
-                         ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"),
-                         ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(ENTITY), F.lit(0)))
+    amp = lambda e: _character(e) == "&"
+    # ampersands last: what they uncover belongs to the next round
+    ordered = F.concat(F.filter(found, lambda e: ~amp(e)), F.filter(found, amp))
+    return F.when(c.contains("&"), F.aggregate(ordered, c, lambda s, e: F.replace(s, e, _character(e)))).otherwise(c)
 
 
 def unescape_html(c) -> Column:
-    """Named entities, resolved twice because payloads are often double-escaped."""
+    """Named and numeric entities, resolved twice because payloads are often double-escaped."""
     return _unescape_once(_unescape_once(col(c)))
 
 
@@ -37,18 +53,20 @@ def strip_tags(c) -> Column:
     return squeeze(F.regexp_replace(s, r"<[^>]+>", " "))
 
 
-def clean_summary(c, max_chars: int | None = 400) -> Column:
-    """Readable text; with ``max_chars`` cut at a word edge and marked with an ellipsis."""
-    s = strip_tags(unescape_html(F.trim(strip_nul(c))))
-    if max_chars is None:
-        return F.when(text(c) == "", F.lit(None)).otherwise(s)
+def shorten(c, max_chars: int) -> Column:
+    """Cut at a word edge and marked with an ellipsis if it is longer."""
+    s = col(c)
     head = F.substring(s, 1, max_chars)
     # position of the last blank inside the head
     last = F.length(head) - F.length(F.substring_index(head, " ", -1))
     cut = F.when(last - 1 > F.lit(max_chars * 0.8), F.substring(head, F.lit(1), last - 1)).otherwise(head)
-    return (F.when(text(c) == "", F.lit(None))
-             .when(F.length(s) <= max_chars, s)
-             .otherwise(F.concat(F.trim(cut), F.lit("…"))))
+    return F.when(F.length(s) <= max_chars, s).otherwise(F.concat(F.trim(cut), F.lit("…")))
+
+
+def clean_summary(c, max_chars: int | None = None) -> Column:
+    """Readable text, whole unless ``max_chars`` is given."""
+    s = strip_tags(unescape_html(F.trim(strip_nul(c))))
+    return F.when(text(c) == "", F.lit(None)).otherwise(s if max_chars is None else shorten(s, max_chars))
 
 
 def clean_salary(c) -> Column:
@@ -209,7 +227,7 @@ def salary_from_comp(json_col) -> Column:
                         "array<struct<compensationType:string,label:string>>")
     part = F.try_element_at(F.filter(comps, lambda x: (x["compensationType"] == "Salary") & x["label"].contains("$")),
                             F.lit(1))["label"]
-    return F.when(tier.contains("$"), F.substring(F.trim(tier), 1, 120)).otherwise(F.substring(F.trim(part), 1, 120))
+    return F.when(tier.contains("$"), F.trim(tier)).otherwise(F.trim(part))
 
 
 def monthly_k(c) -> Column:

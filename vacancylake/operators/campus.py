@@ -167,25 +167,39 @@ def batch_gap(obs: DataFrame, now) -> DataFrame:
 
 
 def overlap_counts(claims: DataFrame) -> DataFrame:
-    """For every claim, how many different publishers overlap it inside its company, season, batch and event.
+    """For every claim, how many different publishers overlap it inside its company, season, batch and event,
+    and whether an official one does.
 
-    Claims are first reduced to distinct (publisher, months), so a hot company costs its
-    distinct ranges, at most 144, not its pairs of claims.
+    A missing last month is the first one; ranges that run backwards have no months and leave. Claims are first reduced
+    to distinct (publisher, months), so a hot company costs its distinct ranges, at most 144, not its pairs of claims.
     """
     keys = ["company_id", "season", "batch", "event"]
+    official = F.coalesce(F.col("official"), F.lit(False)) if "official" in claims.columns else F.lit(False)
+    claims = claims.withColumn("month_end", F.coalesce("month_end", "month_start")).where("month_start <= month_end").withColumn("_official", official)
+    span = lambda: F.explode(F.sequence("month_start", "month_end")).alias("m")
     ranges = claims.select(*keys, "month_start", "month_end").distinct()
-    months = claims.select(*keys, "publisher", F.explode(F.sequence("month_start", "month_end")).alias("m")).distinct()
-    span = ranges.withColumn("m", F.explode(F.sequence("month_start", "month_end")))
-    n = span.join(months, [*keys, "m"]).groupBy(*keys, "month_start", "month_end").agg(F.countDistinct("publisher").alias("n_pub"))
-    return claims.join(n, [*keys, "month_start", "month_end"])
+    months = claims.select(*keys, "publisher", "_official", span()).distinct()
+    n = ranges.select("*", span()).join(months, [*keys, "m"]).groupBy(*keys, "month_start", "month_end").agg(
+        F.countDistinct("publisher").alias("n_pub"), F.bool_or("_official").alias("has_official"))
+    return claims.drop("_official").join(n, [*keys, "month_start", "month_end"])
+
 
+def cycle_consensus(claims: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Anchor of each event: most publishers, then the narrowest, then the earliest range. Two publishers or an official
+    one make it verified.
 
-def cycle_consensus(claims: DataFrame) -> DataFrame:
-    """Anchor of each event: most publishers, then the narrowest, then the earliest range; two make it verified."""
+    prior (keys, status): a verified event is left alone, and a draft is not repeated by a draft.
+    """
     keys = ["company_id", "season", "batch", "event"]
     best = C.latest_per_key(overlap_counts(claims), keys, [F.col("n_pub").desc(), F.col("month_end") - F.col("month_start"), F.col("month_start"), F.col("id")])
-    official = F.coalesce(F.col("official"), F.lit(False)) if "official" in claims.columns else F.lit(False)
-    return best.select(*keys, "month_start", "month_end", "n_pub", F.when(official | (F.col("n_pub") >= 2), "verified").otherwise("draft").alias("status"))
+    status = F.when(F.col("has_official") | (F.col("n_pub") >= 2), "verified").otherwise("draft")
+    out = best.select(*keys, "month_start", "month_end", "n_pub", status.alias("status"))
+    if prior is None:
+        return out
+    old = prior.groupBy(*keys).agg(F.bool_or(F.col("status") == "verified").alias("_done"), F.bool_or(F.col("status") == "draft").alias("_draft"))
+    out = out.join(old, keys, "left")
+    skip = F.coalesce("_done", F.lit(False)) | (F.coalesce("_draft", F.lit(False)) & (F.col("status") == "draft"))
+    return out.where(~skip).drop("_done", "_draft")
 
 
 def duplicate_boards(existing: DataFrame, candidates: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -96,6 +96,7 @@ def recall(profiles: DataFrame, jobs: DataFrame, actions: DataFrame, now, budget
     hits = match_clauses(live, clauses)
     mine = clauses.select("user_id", "tier", "ckey").join(hits, "ckey").select("user_id", "tier", "id").distinct()
     city = mine.where("tier = 'cityNew'").select("user_id", "id", F.lit(True).alias("_city"))
+    choosy = clauses.where("tier = 'cityNew'").select("user_id", F.lit(True).alias("_choosy")).distinct()
     # the user's own tests: scope, stage, exclusions, postings already acted on
     wide = live.select("id", "title", "company", "location", "job_type", "summary", "salary_text", "jd_url", "job_scope", "country_code", "first_seen_at")
     p = profiles.select("user_id", "profile_scope", "target_regions", "stage", "exclude_keywords")
@@ -103,10 +104,10 @@ def recall(profiles: DataFrame, jobs: DataFrame, actions: DataFrame, now, budget
     rows = rows.where(scope_ok() & stage_prefilter(F.col("stage")) & ~excluded("exclude_keywords")
                       & ((F.col("tier") != "cityNew") | (F.col("first_seen_at") >= since)))
     acted = actions.where("action <> 'viewed'").select("user_id", F.col("job_id").alias("id")).distinct()
-    rows = rows.join(acted, ["user_id", "id"], "left_anti").join(city, ["user_id", "id"], "left")
-    near = F.when(F.col("tier") == "cityNew", 0).when(F.col("_city"), 0).when(F.trim(text("location")) == "", 1).otherwise(2)
+    rows = rows.join(acted, ["user_id", "id"], "left_anti").join(city, ["user_id", "id"], "left").join(choosy, "user_id", "left")
+    # users without target cities have no near or far: newest first
+    near = F.when(F.col("_choosy").isNull() | (F.col("tier") == "cityNew"), 0).when(F.col("_city"), 0).when(F.trim(text("location")) == "", 1).otherwise(2)
     tier_no = F.when(F.col("tier") == "role", 0).when(F.col("tier") == "company", 1).otherwise(2)
-    weight = F.when(F.col("tier") == "role", 5).when(F.col("tier") == "company", 2).otherwise(3)
     rows = rows.select("user_id", "id", "tier", "first_seen_at", near.alias("_near"), tier_no.alias("_tier"))
     drawn = C.weighted_round_robin(rows, ["user_id"], "_tier", [F.col("_near"), F.col("first_seen_at").desc(), F.col("id")], weight_of("_tier"), budget)
     first = C.latest_per_key(drawn, ["user_id", "id"], [F.col("tier_rn") / weight_of("_tier"), F.col("_tier")])

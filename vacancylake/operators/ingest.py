@@ -55,17 +55,20 @@ def quality_gate(raw: DataFrame, sources: DataFrame, navigation_titles: Sequence
     return judged.where("reject_reason is null").drop("reject_reason"), judged.where("reject_reason is not null")
 
 
-def normalize_jobs(raw: DataFrame, sources: DataFrame, max_summary: int | None = 500) -> DataFrame:
-    """Landed rows as posting rows: cleaned text, derived place, type, class, dates and keys."""
+def normalize_jobs(raw: DataFrame, sources: DataFrame, short: int = 500) -> DataFrame:
+    """Landed rows as posting rows: cleaned text, derived place, type, class, dates and keys.
+
+    Everything is read from the whole text; summary_short is a display form only.
+    """
     s = sources.select(F.col("id").alias("source_id"), F.col("company").alias("_company"))
     r = raw.join(s, "source_id", "left")
     r = (r.withColumn("_body", F.col("summary")).withColumn("title", T.clean_title("title"))
-          .withColumn("location", G.clean_location("location")).withColumn("summary", T.clean_summary("_body", max_summary)))
+          .withColumn("location", G.clean_location("location")).withColumn("summary", T.clean_summary("_body")))
     return r.select(
         "source_id", F.coalesce(F.nullif(text("company"), F.lit("")), "_company").alias("company"), "title", "location",
         G.country_code("location").alias("country_code"), G.job_scope("location").alias("job_scope"),
         F.when(T.is_recruitment_type("job_type"), F.col("job_type")).otherwise(F.coalesce(T.job_type("title", "summary"), "job_type")).alias("job_type"),
-        T.grad_class("title", "job_type", "summary").alias("grad_class"), "summary",
+        T.grad_class("title", "job_type", "summary").alias("grad_class"), "summary", T.shorten("summary", short).alias("summary_short"),
         T.sponsorship(F.concat_ws(" ", "title", "summary")).alias("sponsorship_signal"),
         T.strip_nul("jd_url").alias("jd_url"), U.canonical_url(T.strip_nul("jd_url")).alias("canonical_jd_url"), "apply_url",
         T.clean_salary("salary_text").alias("salary_text"), F.col("posted_at").try_cast("timestamp").alias("posted_at"),
@@ -248,8 +251,9 @@ def apply_actions(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def merge_gap_attempts(previous: DataFrame, results: DataFrame, now) -> DataFrame:
     """Ledger rows after a round: one more attempt, new state, evidence merged key by key."""
-    p = previous.select("company", F.col("attempts").alias("_n"), F.col("evidence").alias("_e"), F.col("state").alias("_s"))
-    r = results.select("company", "state", "evidence")
+    kept = [c for c in ("last_attempt_at", "next_retry_at", "fail_reason") if c in previous.columns]
+    p = previous.select("company", F.col("attempts").alias("_n"), F.col("evidence").alias("_e"), F.col("state").alias("_s"), *[F.col(c).alias(f"_{c}") for c in kept])
+    r = results.select("company", "state", "evidence", *[c for c in kept if c != "last_attempt_at" and c in results.columns])
     j = p.join(r, "company", "full_outer")
     ran = F.col("state").isNotNull()
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
@@ -258,7 +262,8 @@ def merge_gap_attempts(previous: DataFrame, results: DataFrame, now) -> DataFram
     return j.select("company", F.coalesce("state", "_s").alias("state"),
                     (F.coalesce("_n", F.lit(0)) + ran.cast("int")).alias("attempts"),
                     F.map_concat(old, F.coalesce("evidence", empty)).alias("evidence"),
-                    F.when(ran, at(now)).alias("last_attempt_at"))
+                    F.when(ran, at(now)).otherwise(F.col("_last_attempt_at") if "last_attempt_at" in kept else F.lit(None)).alias("last_attempt_at"),
+                    *[F.when(ran, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) if c in r.columns else F.col(f"_{c}").alias(c) for c in kept if c != "last_attempt_at"])
 
 
 def sync_watch_requests(wanted: DataFrame, sources: DataFrame, existing: DataFrame):

@@ -143,12 +143,14 @@ def claim_status(claims: DataFrame, min_conf: float = 0.6, review_floor: float =
     return claims.withColumn("status", F.when(enough, s).otherwise("drop"))
 
 
-def retire_generation(items: DataFrame, window_minutes: int = 0) -> DataFrame:
-    """Claims of a company not renewed by its newest round are retired."""
-    from pyspark.sql import Window
-    newest = F.max("last_verified_at").over(Window.partitionBy("company_id"))
-    old = F.col("last_verified_at") < newest - F.expr(f"interval {window_minutes} minutes")
-    return items.withColumn("status", F.when((F.col("status") == "active") & old, "retired").otherwise(F.col("status")))
+def retire_generation(items: DataFrame, runs: DataFrame) -> DataFrame:
+    """Active claims from the public web that a company's run (company_id, run_start, wrote_any) did not renew are retired.
+
+    A run that wrote nothing retires nothing; claims of other origin stay.
+    """
+    r = runs.where("wrote_any").groupBy("company_id").agg(F.max("run_start").alias("_run"))
+    old = (F.col("status") == "active") & (F.col("origin") == "public_web") & (F.col("last_verified_at") < F.col("_run"))
+    return items.join(r, "company_id", "left").withColumn("status", F.when(old, "retired").otherwise(F.col("status"))).drop("_run")
 
 
 def pick_evidence(results: DataFrame, n: int = 3) -> DataFrame:

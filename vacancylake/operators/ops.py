@@ -170,9 +170,13 @@ def click_validity_by_adapter(events: DataFrame) -> DataFrame:
     return g.withColumn("validity_rate", F.when(known > 0, F.col("alive") / known))
 
 
+EVENT_NAME_MAX = 64
+
+
 def event_counts(events: DataFrame, since) -> DataFrame:
-    name = F.substring(F.lower(F.trim(text("event"))), 1, 64)
-    return events.where(F.col("created_at") >= since).groupBy(name.alias("event")).agg(F.count("*").alias("n"))
+    """Events per name; blank and over-long names are no events."""
+    name = F.trim(text("event"))
+    return events.where((F.col("created_at") >= since) & F.length(name).between(1, EVENT_NAME_MAX)).groupBy(name.alias("event")).agg(F.count("*").alias("n"))
 
 
 def supply_ledger(ops: DataFrame, coverage: DataFrame) -> DataFrame:

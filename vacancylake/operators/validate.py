@@ -1,6 +1,10 @@
 """Validation jobs: good rows and rejects with a reason."""
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.base import any_of, at, col, let, squeeze, text
@@ -11,7 +15,8 @@ SURNAMES = ("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋
 PII = [r"(?:\+?86[-\s]?)?1[3-9]\d[-\s]?\d{4}[-\s]?\d{4}", r"(?<![A-Za-z0-9_])\d{17}[\dXx](?![A-Za-z0-9_])", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
        r"(?:^|\s)@[A-Za-z0-9_\-一-龥]{2,}", "[" + SURNAMES + "](?:总监|经理|主管|老板|老师|总|姐|哥)", "张三|李四|王五|赵六"]
 CONTENT_MAX = 200
-FORBIDDEN_KEYS = ["resume", "resume_text", "phone", "email", "name", "id_card", "address"]
+# fixed values: payload keys that are never stored, compared after trimming, lower-casing and joining words by _
+FORBIDDEN_KEYS = ["email", "user_email", "contact_email", "resume", "resume_text", "raw_resume", "reason_text", "title", "job_title", "company", "company_name", "jd_url", "skills"]
 
 
 def contains_pii(c) -> Column:
@@ -44,12 +49,42 @@ def validate_actions(df: DataFrame, known=("viewed", "saved", "ignored", "applie
     return df.withColumn("reason", F.when(text("job_id") == "", "missing_job").when(~text("action").isin(list(known)), "invalid_action"))
 
 
+def _without(value, forbidden: frozenset):
+    if isinstance(value, list):
+        return [_without(v, forbidden) for v in value]
+    if not isinstance(value, dict):
+        return value
+    return {k: _without(v, forbidden) for k, v in value.items() if re.sub(r"[\s-]+", "_", k.strip().lower()) not in forbidden}
+
+
+def safe_payload(c, forbidden=FORBIDDEN_KEYS, max_chars: int = 4000) -> Column:
+    """JSON object without forbidden keys at any depth; {} for anything else and for what stays too long."""
+    drop = frozenset(forbidden)
+
+    @F.pandas_udf("string")
+    def clean(payloads: pd.Series) -> pd.Series:
+        out = []
+        for p in payloads:
+            try:
+                value = json.loads(p) if p else {}
+            except ValueError:
+                value = {}
+            body = json.dumps(_without(value, drop), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else "{}"
+            out.append(body if len(body) <= max_chars else "{}")
+        return pd.Series(out, dtype=object)
+
+    return clean(col(c))
+
+
+def judge_events(df: DataFrame, max_name: int = 64) -> DataFrame:
+    """Adds reason: event_missing, event_too_long, or null for a good row; names are trimmed, not changed."""
+    name = F.trim(text("event"))
+    return df.withColumn("event", name).withColumn("reason", F.when(F.col("event") == "", "event_missing").when(F.length("event") > max_name, "event_too_long"))
+
+
 def clean_events(df: DataFrame, max_name: int = 64, max_payload: int = 4000, forbidden=FORBIDDEN_KEYS) -> DataFrame:
-    """Event names normalised, forbidden payload keys removed, oversized payloads emptied."""
-    m = F.map_filter(F.from_json("payload", "map<string,string>"), lambda k, _v: ~F.lower(k).isin(list(forbidden)))
-    name = F.substring(F.regexp_replace(F.lower(F.trim(text("event"))), r"[^a-z0-9_.-]+", "_"), 1, max_name)
-    body = F.to_json(m)
-    return df.withColumn("event", name).withColumn("payload", F.when(F.length(body) > max_payload, "{}").otherwise(F.coalesce(body, F.lit("{}")))).where("event <> ''")
+    """Events with a good name, and payloads without forbidden keys."""
+    return judge_events(df, max_name).where("reason is null").drop("reason").withColumn("payload", safe_payload("payload", forbidden, max_payload))
 
 
 def validate_cycle_claims(df: DataFrame, now) -> DataFrame:

@@ -136,11 +136,10 @@ def _(t):
                     D.publish_date(F.create_map(F.lit("publish_time"), F.lit("soon"))).alias("from_junk"))
 
 
-@query("grad_class", "select id, case when contains(title, '2027届') then 2027 when contains(extra, 'Class of 2026') then 2026 when contains(extra, '28届') then 2028 end as grad_class from (select id, title, case l_linenumber % 4 when 0 then 'Class of 2026' when 1 then '欢迎28届' when 2 then '2014届' else '2027年12月入职' end as extra from r_posts where not contains(title, '2027届') or l_linenumber % 4 <> 1)")
+@query("grad_class", "select id, greatest(case when contains(title, '2027届') then 2027 end, case when contains(extra, 'Class of 2026') then 2026 when contains(extra, '28届') then 2028 end) as grad_class from (select id, title, case l_linenumber % 4 when 0 then 'Class of 2026' when 1 then '欢迎28届' when 2 then '2014届' else '2027年12月入职' end as extra from r_posts)")
 def _(t):
     extra = F.expr("case l_linenumber % 4 when 0 then 'Class of 2026' when 1 then '欢迎28届' when 2 then '2014届' else '2027年12月入职' end")
-    rows = t.posts.where("not contains(title, '2027届') or l_linenumber % 4 <> 1")
-    return rows.select("id", T.grad_class("title", None, extra).alias("grad_class"))
+    return t.posts.select("id", T.grad_class("title", None, extra).alias("grad_class"))
 
 
 @query("sponsorship", "select doc_id, case " + " ".join(f"when regexp_matches(text, {S.q('(?i)' + p)}) then 'none'" for p in V.SPONSOR_NONE) + " " + " ".join(

@@ -158,14 +158,14 @@ def _(t):
     return I.snapshot_changes(s.where("captured_at < timestamp '2001-06-01'"), cur)
 
 
-@query("merge_gap_attempts", "select s_name as company, case when s_suppkey % 3 = 0 then 'old' else 'new' end as state, case when s_suppkey % 3 = 0 then 1 else 2 end as attempts, case when s_suppkey % 3 = 0 then 'a=1,b=1' else 'a=1,b=2,c=2' end as evidence from supplier")
+@query("merge_gap_attempts", "select s_name as company, case when s_suppkey % 3 = 0 then 'old' else 'new' end as state, case when s_suppkey % 3 = 0 then 1 else 2 end as attempts, case when s_suppkey % 3 = 0 then 'a=1,b=1' else 'a=1,b=2,c=2' end as evidence, case when s_suppkey % 3 = 0 then '2001-01-02' else '{day}' end as last_day, case when s_suppkey % 3 = 0 then 'no_entry' end as fail_reason from supplier".replace("{day}", str(NOW)[:10]))
 def _(t):
     s = t.supplier.select(F.col("s_name").alias("company"), "s_suppkey")
-    prev = s.select("company", F.lit("old").alias("state"), F.lit(1).alias("attempts"), F.expr("map('a', '1', 'b', '1')").alias("evidence"))
-    res = s.where("s_suppkey % 3 <> 0").select("company", F.lit("new").alias("state"), F.expr("map('b', '2', 'c', '2')").alias("evidence"))
+    prev = s.select("company", F.lit("old").alias("state"), F.lit(1).alias("attempts"), F.expr("map('a', '1', 'b', '1')").alias("evidence"), F.lit("2001-01-02").cast("timestamp").alias("last_attempt_at"), F.lit("no_entry").alias("fail_reason"))
+    res = s.where("s_suppkey % 3 <> 0").select("company", F.lit("new").alias("state"), F.expr("map('b', '2', 'c', '2')").alias("evidence"), F.lit(None).cast("string").alias("fail_reason"))
     out = I.merge_gap_attempts(prev, res, NOW)
     flat = F.array_join(F.array_sort(F.transform(F.map_entries("evidence"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return out.select("company", "state", "attempts", flat.alias("evidence"))
+    return out.select("company", "state", "attempts", flat.alias("evidence"), F.date_format("last_attempt_at", "yyyy-MM-dd").alias("last_day"), "fail_reason")
 
 
 @query("sync_watch_requests", """select c_custkey as user_id, case when exists (select 1 from r_sources s where s.enabled and s.company = w.name) then 'covered' else 'pending' end as status from (select c_custkey, concat('Supplier#', lpad(cast(c_custkey % 150 as varchar), 9, '0')) as name from customer) w""")

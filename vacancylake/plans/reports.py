@@ -93,10 +93,13 @@ def _(t):
     return IN.claim_status(c).select("id", "status")
 
 
-@query("retire_generation", "select id, case when verify_status = 'verified' and date_start < max(date_start) over (partition by company_id) then 'retired' when verify_status = 'verified' then 'active' else 'draft' end as status from r_claims")
+@query("retire_generation", """select id, case when verify_status = 'verified' and id % 4 <> 0 and date_start < max(date_start) over (partition by company_id) and company_id % 5 <> 0 then 'retired'
+  when verify_status = 'verified' then 'active' else 'draft' end as status from r_claims""")
 def _(t):
-    items = t.claims.select("id", "company_id", F.expr("case verify_status when 'verified' then 'active' else 'draft' end").alias("status"), F.col("date_start").cast("timestamp").alias("last_verified_at"))
-    return IN.retire_generation(items).select("id", "status")
+    items = t.claims.select("id", "company_id", F.expr("case verify_status when 'verified' then 'active' else 'draft' end").alias("status"),
+                            F.expr("case when id % 4 = 0 then 'first_party' else 'public_web' end").alias("origin"), F.col("date_start").cast("timestamp").alias("last_verified_at"))
+    runs = items.groupBy("company_id").agg(F.max("last_verified_at").alias("run_start"), (F.first("company_id") % 5 != 0).alias("wrote_any"))
+    return IN.retire_generation(items, runs).select("id", "status")
 
 
 @query("pick_evidence", "with r as (select company_id as claim_id, publisher, id % 11 = 0 as cited, id as pos from r_claims), p as (select * from (select *, row_number() over (partition by claim_id, publisher order by cited desc, pos) rn from r) where rn = 1) select claim_id, publisher, pos from (select *, row_number() over (partition by claim_id order by cited desc, pos) k from p) where k <= 3")
@@ -371,10 +374,12 @@ def _(t):
     return VA.validate_cycle_claims(c, "1998-01-01 00:00:00").select("id", "reason")
 
 
-@query("clean_events", "select id, event, payload->>'$.result' as result, cast(null as varchar) as adapter from r_tracks")
+@query("clean_events", """select id, upper(event) as event, payload->>'$.result' as result, payload->>'$.result' as inner_result, cast(null as varchar) as adapter, cast(null as varchar) as inner_adapter from r_tracks""")
 def _(t):
-    e = VA.clean_events(t.tracks.withColumn("event", F.concat(F.lit(" "), F.upper("event"))), forbidden=["adapter"])
-    return e.select("id", "event", F.get_json_object("payload", "$.result").alias("result"), F.get_json_object("payload", "$.adapter").alias("adapter"))
+    wrapped = F.concat(F.lit('{"AD APTER":"x","Adapter ":{"a":1},"list":[{"inner":'), "payload", F.lit("}],"), F.expr("substr(payload, 2)"))
+    e = VA.clean_events(t.tracks.withColumn("event", F.concat(F.lit(" "), F.upper("event"))).withColumn("payload", wrapped), forbidden=["adapter", "ad_apter"])
+    j = lambda path: F.get_json_object("payload", path)
+    return e.select("id", "event", j("$.result").alias("result"), j("$.list[0].inner.result").alias("inner_result"), j("$.adapter").alias("adapter"), j("$.list[0].inner.adapter").alias("inner_adapter"))
 
 
 @query("daily_event_windows", "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n from events group by all")

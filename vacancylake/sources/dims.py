@@ -15,7 +15,7 @@ def must_apply_dim(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
         m = F.from_json("value", f"map<string,array<{ENTRY}>>")
         rows = text.select(F.posexplode(F.map_entries(m)).alias("ipos", "i")).select("ipos", F.col("i.key").alias("industry"), F.posexplode("i.value").alias("epos", "e"))
         rows = rows.select(F.lit(scope).alias("scope"), "industry", "e.name", "e.pattern", F.col("e.parentPattern").alias("parent_pattern"),
-                           F.coalesce("e.brandTokens", F.array().cast("array<string>")).alias("brand_tokens"), (F.col("ipos") * 1000 + F.col("epos")).alias("pos"))
+                           F.coalesce("e.brandTokens", F.array().cast("array<string>")).alias("brand_tokens"), (F.col("ipos").cast("long") * (1 << 32) + F.col("epos")).alias("pos"))
         out = rows if out is None else out.unionByName(rows)
     first = lambda c: F.min_by(c, "pos").alias(c)
     return out.groupBy("scope", "pattern").agg(first("name"), first("parent_pattern"), first("brand_tokens"), F.array_sort(F.collect_set("industry")).alias("industries"), F.min("pos").alias("pos"))
