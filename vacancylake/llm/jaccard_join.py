@@ -2,8 +2,8 @@
 
 Plain data pivots do not part this space: almost all texts lie at distance 1 from any text. So the first level uses
 pivots of its own: every shingle of a set's prefix (see shingles.prefix) belongs to one pivot set, the smallest-keyed set
-that has it in its prefix, and a set lies in the region of each pivot it shares such a shingle with. Linked sets share a
-prefix shingle, hence a region; sets whose prefix is theirs alone leave here. Inside a region, true Jaccard distances to
+that has it in its prefix, and a set lies in the region of each pivot it shares such a shingle with. Linked sets share
+a part of their prefix, hence a region; sets whose prefix is mostly theirs alone leave here. Inside a region, true Jaccard distances to
 pivots, regions of the nearest pivot with boundary copies, and recursion do the rest (shingles.region_links). Regions too
 large for a task are first cut by their distance to a central member and by size, both in windows that no link leaves.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -69,17 +69,28 @@ def described(docs: DataFrame) -> DataFrame:
 def region_members(feats: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((p, sk): which set lies in which region; (p, members, weight, center): regions of two or more sets).
 
-    The center is the member with the largest share of its prefix in common with others: in a group of copies with edits
-    of their own that is the text they come from.
+    A set of n leaves if it shares fewer than r = 1 + 0.8 n / 20 of its prefix elements with anyone: linked sets share
+    that many (see shingles.prefix). For the same reason it may leave its last regions, in an order that all sets use,
+    as long as fewer than r of its elements lie there; the order puts large regions last. It also leaves a region
+    that has no other set of a size between 0.8 and 1.25 of its own. The center is the member with the largest share of
+    its prefix in common with others: in a group of copies with edits of their own that is the text they come from.
     """
     postings = feats.where("sk is not null").select(F.explode("prefix").alias("s"), "sk")
     shared = postings.groupBy("s").agg(F.min("sk").alias("p"), F.max("sk").alias("other")).where("p <> other").select("s", "p")
-    held = stored(postings.join(stored(shared, "shared"), "s").groupBy("p", "sk").agg(F.count("*").alias("hits")), "held")
-    need = F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1
-    common = held.groupBy("sk").agg(F.sum("hits").alias("hits")).join(classes, "sk").select("sk", "n", (F.col("hits") / (F.col("copies") * need)).alias("common"))
-    known = held.select("p", "sk").join(common, "sk")
-    regions = known.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max_by("sk", F.struct("common", "n", "sk")).alias("center"))
-    return held.select("p", "sk"), stored(regions.where("members > 1"), "regions")
+    held = postings.join(stored(shared, "shared"), "s").groupBy("p", "sk").agg(F.count("*").alias("hits"))
+    held = stored(held.join(classes, "sk").select("p", "sk", "n", (F.col("hits") / F.col("copies")).alias("hits")), "held")
+    size = held.groupBy("p").agg(F.sum("n").alias("size"))
+    own = Window.partitionBy("sk")
+    before = F.coalesce(F.sum("hits").over(own.orderBy("size", "p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    n = F.col("n")
+    sized = held.join(size, "p").select("p", "sk", "n", F.sum("hits").over(own).alias("all"), before.alias("before"), F.floor(F.log(n) / STEP).alias("step"))
+    kept = stored(sized.where(F.col("all") - F.col("before") >= 1 + F.floor(F.floor((4 * n + 4) / 5) / 20)), "kept")
+    cells = kept.groupBy("p", "step").agg(F.count("*").alias("count")).select("p", "step", "count", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("move"))
+    others = cells.groupBy("p", (F.col("step") + F.col("move")).alias("step")).agg(F.sum(F.when(F.col("move") == 0, F.col("count") - 1).otherwise(F.col("count"))).alias("others"))
+    need = n - F.floor((4 * n + 4) / 5) + 1 + F.floor(n / 20)
+    members = stored(kept.join(others.where("others > 0"), ["p", "step"]).select("p", "sk", "n", (F.col("all") / need).alias("common")), "members")
+    regions = members.groupBy("p").agg(F.count("*").alias("members"), F.sum("n").alias("weight"), F.max_by("sk", F.struct("common", "n", "sk")).alias("center"))
+    return members.select("p", "sk"), stored(regions.where("members > 1"), "regions")
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -58,13 +58,14 @@ def set_key(own: np.ndarray) -> int:
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The elements of a set one of which any set of similarity 0.8 or more has in its own prefix too.
+    """The first elements of a set, so many that any set of similarity 0.8 or more has `shared(n)` of them in its own prefix.
 
     All sets use one order: elements outside the frequent list by hash, then the frequent ones, most frequent last.
-    frequent is sorted, rank belongs to it.
+    frequent is sorted, rank belongs to it. Sets that have c elements in common have at least k in their first
+    n - c + k; here c is at least four fifths of either size and k a twentieth of the smaller one.
     """
     n = len(own)
-    need = n - (4 * n + 4) // 5 + 1
+    need = n - (4 * n + 4) // 5 + 1 + n // 20
     own = np.sort(own)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
