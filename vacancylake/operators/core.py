@@ -102,15 +102,19 @@ def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_co
                   condition: Column | None = None) -> DataFrame:
     """All (text, needle) pairs where the text contains the needle, any case, as an equi-join.
 
-    Each needle is looked up by its first three characters among the character runs
-    of the text and then verified, so no pair is formed that shares no run. The text
-    side should hold distinct texts. Pass ``condition`` for a test that is stronger
-    than containment. Empty needles match nothing.
+    Each needle is looked up by the rarest of its three-character runs among the texts
+    (shorter needles by themselves) and then verified, so needles that share a beginning
+    do not meet on one key. The text side should hold distinct texts. Pass ``condition``
+    for a test that is stronger than containment. Empty needles match nothing.
     """
     t = texts.withColumn("_gram", F.explode(_grams(F.lower(text(text_col)))))
     n = needles.withColumn("_needle", F.lower(text(needle_col))).where(F.col("_needle") != "")
-    n = n.withColumn("_gram", F.substring("_needle", 1, GRAM))
-    pairs = t.join(n, "_gram").where(F.lower(text(text_col)).contains(F.col("_needle")))
+    size = F.least(F.length("_needle"), F.lit(GRAM))
+    runs = F.transform(F.sequence(F.lit(1), F.length("_needle") - size + 1), lambda i: F.substring(F.col("_needle"), i, size))
+    wanted = n.select("_needle").distinct().select("_needle", F.explode(F.array_distinct(runs)).alias("_gram"))
+    often = t.select("_gram").join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_often"))
+    rare = wanted.join(often, "_gram", "left").groupBy("_needle").agg(F.min_by("_gram", F.struct(F.coalesce("_often", F.lit(0)), "_gram")).alias("_gram"))
+    pairs = t.join(n.join(rare, "_needle"), "_gram").where(F.lower(text(text_col)).contains(F.col("_needle")))
     if condition is not None:
         pairs = pairs.where(condition)
     return pairs.drop("_gram", "_needle")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as V, geo as G, keywords as KW, text as T, tokens as K
 from ..functions.base import all_of, any_contains, any_of, at, col, text, ts
+from ..sources.tables import checkpointed
 from . import core as C
 
 
@@ -15,30 +16,38 @@ def token_search(docs: DataFrame, clauses: DataFrame, doc_id: str = "id", tokens
 
     clauses(query_id, grp, tokens): a document meets a clause when it holds all its
     tokens, a group when it meets one of its clauses, a query when it meets all its
-    groups. Clauses with equal tokens are looked up once, by their rarest token, and
-    the rest is verified in place: frequent tokens are never joined on when a rarer
-    one is there.
+    groups. Queries of equal clauses are answered once and handed out at the end;
+    clauses of equal tokens are looked up once.
     """
     c = clauses.withColumn("ckey", F.array_join(F.array_sort(F.array_distinct("tokens")), " "))
+    asked = c.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("grp", "ckey"))).alias("qkey"))
+    asked = asked.select("query_id", "qkey", F.xxhash64("qkey").alias("_h"))
+    parts = asked.select("qkey", "_h").distinct().select("qkey", "_h", F.explode("qkey").alias("_p")).select("qkey", "_h", "_p.grp", "_p.ckey")
     hits = match_clauses(docs, c.select("ckey", "tokens"), doc_id, tokens)
-    met = hits.join(c.select("query_id", "grp", "ckey").distinct(), "ckey").select("query_id", "grp", doc_id).distinct()
-    need = c.groupBy("query_id").agg(F.countDistinct("grp").alias("_need"))
-    got = met.groupBy("query_id", doc_id).agg(F.count("*").alias("_got"))
-    return got.join(need, "query_id").where("_got = _need").select("query_id", doc_id)
+    met = hits.join(parts.select("_h", "grp", "ckey"), "ckey").select("_h", "grp", doc_id).distinct()
+    need = parts.groupBy("_h").agg(F.countDistinct("grp").alias("_need"))
+    got = met.groupBy("_h", doc_id).agg(F.count("*").alias("_got"))
+    return got.join(need, "_h").where("_got = _need").select("_h", doc_id).join(asked.select("query_id", "_h"), "_h").select("query_id", doc_id)
 
 
 def match_clauses(docs: DataFrame, clauses: DataFrame, doc_id: str = "id", tokens: str = "search_doc") -> DataFrame:
-    """(ckey, document) pairs of the distinct clauses."""
+    """(ckey, document) pairs of the distinct clauses.
+
+    Texts are tokenised once; only (document, token) rows of tokens that some clause asks for are kept, stored, and used
+    to count the tokens, to look a clause up by its rarest token, and to verify its other tokens.
+    """
     distinct = clauses.dropDuplicates(["ckey"]).where(F.size("tokens") > 0)
-    wanted = distinct.select("ckey", F.explode("tokens").alias("token"))
-    posting = docs.select(doc_id, F.col(tokens).alias("_doc"), F.explode(F.array_distinct(tokens)).alias("token"))
-    # frequency of the tokens in question only, counted where the documents lie before the shuffle
-    freq = (posting.select("token").join(wanted.select("token").distinct(), "token", "left_semi")
-            .groupBy("token").agg(F.count("*").alias("n")))
+    wanted = distinct.select("ckey", F.explode(F.array_distinct("tokens")).alias("token"))
+    posting = docs.select(doc_id, F.explode(F.array_distinct(tokens)).alias("token"))
+    posting = checkpointed(posting.join(wanted.select("token").distinct(), "token", "left_semi"))
+    freq = posting.groupBy("token").agg(F.count("*").alias("n"))
     rare = (wanted.join(freq, "token", "left").groupBy("ckey")
-            .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token")))
-    keyed = distinct.select("ckey", F.col("tokens").alias("_all")).join(rare, "ckey")
-    return (posting.join(keyed, "token").where(F.size(F.array_except("_all", "_doc")) == 0).select("ckey", doc_id))
+            .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("_rare"), (F.count("*") - 1).alias("_more")))
+    first = posting.join(rare, F.col("token") == F.col("_rare")).select("ckey", "_more", doc_id)
+    others = wanted.join(rare, "ckey").where("token <> _rare").select("ckey", "token")
+    more = (first.where("_more > 0").join(others, "ckey").join(posting, [doc_id, "token"])
+            .groupBy("ckey", doc_id, "_more").agg(F.count("*").alias("_n")).where("_n = _more"))
+    return first.where("_more = 0").select("ckey", doc_id).union(more.select("ckey", doc_id))
 
 
 @dataclass

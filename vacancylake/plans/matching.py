@@ -92,11 +92,14 @@ CLAUSES = """select c_custkey as query_id, 0 as grp, case c_custkey % 4 when 0 t
   union all select c_custkey, 0, case c_custkey % 3 when 0 then 'ring' else 'intern' end from customer union all select c_custkey, 1, case c_custkey % 3 when 0 then '北京' when 1 then 'shanghai' else '深圳市' end from customer"""
 
 
-@query("token_search", f"""with doc as (select id, {DOC} as d from r_posts), q as (select distinct query_id % 12 as query_id, grp, term from ({CLAUSES})), c as (select query_id, grp, list_filter({PAIRS.replace('WORDS', TOKENS.replace('{c}', 'term'))}, lambda x: x <> '') as tk from q),
-  m as (select distinct c.query_id, c.grp, doc.id from c join doc on list_has_all(doc.d, c.tk)) select query_id, id from m group by query_id, id having count(*) = 2""")
-def _(t):
-    q = t.sql(CLAUSES.replace("from customer", "from {customer}")).select((F.col("query_id") % 12).alias("query_id"), "grp", K.query_tokens("term").alias("tokens")).distinct()
-    return S.token_search(FD.with_search_doc(t.posts).select("id", "search_doc"), q)
+@query("token_search", f"""with doc as (select id, {DOC} as d from r_posts), q as ({CLAUSES}), terms as (select distinct term from q), c as (select term, list_filter({PAIRS.replace('WORDS', TOKENS.replace('{c}', 'term'))}, lambda x: x <> '') as tk from terms),
+  hit as (select c.term, doc.id from c join doc on list_has_all(doc.d, c.tk)), kind as (select query_id, list_sort(list(distinct concat(grp, ' ', term))) as k from q group by query_id), kinds as (select k, min(query_id) as some from kind group by k),
+  met as (select distinct kinds.k, q.grp, hit.id from kinds join q on q.query_id = kinds.some join hit on hit.term = q.term), full_ as (select k, id from met group by k, id having count(*) = 2),
+  n as (select k, count(*) as n, min(id) as first_id, max(id) as last_id from full_ group by k) select kind.query_id, n.n, n.first_id, n.last_id from kind join n on n.k = kind.k""")
+def _(t):
+    q = t.sql(CLAUSES.replace("from customer", "from {customer}")).select("query_id", "grp", K.query_tokens("term").alias("tokens")).distinct()
+    found = S.token_search(FD.with_search_doc(t.posts).select("id", "search_doc"), q)
+    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 @query("match_filters_plain", f"""select id, case when loc = '' or not explicit or edu = 'degrade' then 'related' else 'exact' end as tier, concat_ws(',', case when loc = '' then 'city' end, case when not explicit then 'type' end, case when edu = 'degrade' then 'education' end) as degraded from (
