@@ -15,7 +15,7 @@ from vacancylake.llm.common import bounded_batches, stored
 from vacancylake.llm.wordbpe import tokenizer
 
 LENGTH, END_ID = 2048, 0
-FILLINGS, NODES, SEARCH = 4, 400, 20_000  # fillings tried at a branch, nodes to find them, nodes of the whole search
+FILLINGS, NODES, SEARCH = 3, 300, 2_000  # fillings tried at a branch, nodes to find them, fillings looked for after the first descent
 SALT_ROWS, LEAST_SALTS = 100_000, 64
 
 Filling = tuple[int, ...]  # lengths in a sequence, largest first
@@ -46,51 +46,54 @@ def pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
     return made.select(*keep, "piece", "p.*")
 
 
-def fillings(largest: int, counts: dict[int, int], sizes: list[int], room: int, nodes: int = NODES, most: int = FILLINGS) -> list[Filling]:
-    """Undominated ways to fill a sequence around its largest piece, least waste first.
+def fillings(largest: int, left: dict[int, int], sizes: list[int], room: int, nodes: int = NODES, most: int = FILLINGS) -> list[Filling]:
+    """Undominated ways to fill a sequence around its largest piece, least waste first; only one if that wastes nothing.
 
-    sizes: ascending lengths with counts above 0. A filling is dominated if another piece still fits, or if one of its
-    pieces can give way to a longer one that is left and fits. The search takes larger pieces first, which makes the
-    first filling found the best-fit one, and drops branches that cannot waste less than the worst one kept.
+    sizes: ascending lengths with counts above 0 in left. A filling is dominated if another piece still fits, or if one
+    of its pieces can give way to a longer one that is left and fits. The search takes larger pieces first, so that the
+    first filling found is the best-fit one; at each step it first looks for the piece that closes the gap.
     """
-    left = dict(counts)
     left[largest] -= 1
-    smallest = next((s for s in sizes if left[s] > 0), None)
     found: dict[Filling, int] = {}
     budget = nodes
 
     def dominated(own: list[int], waste: int) -> bool:
         for x in set(own):
             k = bisect_right(sizes, x + waste) - 1
-            if sizes[k] > x and left[sizes[k]] > 0:
-                return True
+            while sizes[k] > x:
+                if left[sizes[k]] > 0:
+                    return True
+                k -= 1
         return False
 
-    def fill(own: list[int], space: int, top: int) -> None:
+    def fill(own: list[int], space: int, top: int) -> bool:
+        """True once a filling without waste is found."""
         nonlocal budget
-        k = bisect_right(sizes, min(space, top)) - 1
-        leaf = True
+        if space == 0 or left.get(space, 0) > 0 and space <= top:
+            found[tuple([*own, space] if space else own)] = 0
+            return True
+        k, leaf = bisect_right(sizes, min(space, top)) - 1, True
         while k >= 0 and budget > 0:
             s = sizes[k]
             k -= 1
-            if left[s] <= 0:
-                continue
-            if leaf and s <= space:
+            if left[s] > 0:
                 leaf = False
-            budget -= 1
-            left[s] -= 1
-            own.append(s)
-            fill(own, space - s, s)
-            own.pop()
-            left[s] += 1
-            if any(w == 0 for w in found.values()) and len(found) >= most:
-                return
-        if leaf or (smallest is not None and space < smallest):
-            if not any(left[s] > 0 and s <= space for s in sizes[:bisect_right(sizes, space)]) and not dominated(own, space):
-                found.setdefault(tuple(own), space)
+                budget -= 1
+                left[s] -= 1
+                own.append(s)
+                done = fill(own, space - s, s)
+                own.pop()
+                left[s] += 1
+                if done:
+                    return True
+        if leaf and not any(left[s] > 0 for s in sizes[:bisect_right(sizes, space)]) and not dominated(own, space):
+            found.setdefault(tuple(own), space)
+        return False
 
     fill([], room - largest, room)
-    return [(largest, *f) for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0])))[:most]]
+    left[largest] += 1
+    ranked = sorted(found.items(), key=lambda x: (x[1], len(x[0])))[:1 if 0 in found.values() else most]
+    return [(largest, *f) for f, _ in ranked] or [best_fit(largest, left, sizes, room)]
 
 
 def best_fit(largest: int, counts: dict[int, int], sizes: list[int], room: int) -> Filling:
@@ -112,62 +115,77 @@ def _times(filling: Filling, counts: dict[int, int]) -> int:
     return min(counts[s] // filling.count(s) for s in set(filling))
 
 
-def _greedy(counts: dict[int, int], room: int) -> list[tuple[Filling, int]]:
-    counts, plan = dict(counts), []
-    sizes = sorted(s for s, n in counts.items() if n)
+def _use(filling: Filling, n: int, left: dict[int, int], sizes: list[int]) -> None:
+    for s in filling:
+        left[s] -= n
+    for s in set(filling):
+        if not left[s]:
+            sizes.remove(s)
+
+
+def _greedy(left: dict[int, int], room: int) -> list[tuple[Filling, int]]:
+    left, plan = dict(left), []
+    sizes = sorted(s for s, n in left.items() if n)
     while sizes:
-        f = best_fit(sizes[-1], counts, sizes, room)
-        n = _times(f, counts)
-        plan.append((f, n))
-        for s in f:
-            counts[s] -= n
-        sizes = [s for s in sizes if counts[s]]
+        f = best_fit(sizes[-1], left, sizes, room)
+        plan.append((f, _times(f, left)))
+        _use(*plan[-1], left, sizes)
     return plan
 
 
 def lower_bound(counts: dict[int, int], room: int) -> int:
     """Fewest sequences possible: total volume, or pieces over half plus what cannot sit beside them, whichever is more."""
-    best = -(-sum(s * n for s, n in counts.items()) // room)
-    for k in {s for s in counts if 2 * s <= room} | {0}:
-        big = sum(n for s, n in counts.items() if s > room - k)
-        mid = [(s, n) for s, n in counts.items() if room / 2 < s <= room - k]
-        small = sum(s * n for s, n in counts.items() if k <= s <= room / 2)
-        free = sum((room - s) * n for s, n in mid)
-        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(small - free) // room)))
-    return best
+    number = np.zeros(room + 1, object)
+    for s, n in counts.items():
+        number[s] = n
+    volume = number * np.arange(room + 1).astype(object)
+    some, much = np.concatenate(([0], np.cumsum(number))), np.concatenate(([0], np.cumsum(volume)))  # of lengths below
+    half, best = room // 2 + 1, -(-much[-1] // room)
+    for k in range(half):
+        big, mid = some[-1] - some[room - k + 1], some[room - k + 1] - some[half]
+        free = mid * room - (much[room - k + 1] - much[half])
+        best = max(best, big + mid + max(0, -(-(much[half] - much[k] - free) // room)))
+    return int(best)
 
 
 def complete_bins(counts: dict[int, int], room: int, search: int = SEARCH) -> list[tuple[Filling, int]]:
     """(filling, how often) that hold all pieces, in as few sequences as the search finds.
 
     Branch and bound over fillings around the largest piece left; a filling is used as often as the counts allow.
-    A branch ends when its waste is more than a better packing could have. The best-fit packing is the first incumbent,
-    and the end of each branch after the search budget. Work depends on the number of distinct lengths only.
+    Where the best filling wastes something, the others are branches to come back to. A branch ends when its waste is
+    more than a better packing could have. The best-fit packing is the first incumbent; `search` bounds the fillings
+    looked for after the first descent, and what a late branch has left is finished by best fit. Work depends on the
+    number of distinct lengths, not on how many pieces there are.
     """
     counts = {s: n for s, n in counts.items() if n}
     best = _greedy(counts, room)
     fewest, bound = sum(n for _, n in best), lower_bound(counts, room)
     total = sum(s * n for s, n in counts.items())
-    budget = search
-    stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int, int]] = [(counts, [], 0, 0)]
-    while stack and fewest > bound and budget > 0:
-        left, plan, used, waste = stack.pop()
-        budget -= 1
-        if waste > (fewest - 1) * room - total:
-            continue
-        if not left:
-            best, fewest = plan, used
-            continue
-        if budget < search // 2:  # late: finish the branch by best fit
-            rest = _greedy(left, room)
-            if used + sum(n for _, n in rest) < fewest:
-                best, fewest = plan + rest, used + sum(n for _, n in rest)
-            continue
-        sizes = sorted(left)
-        for f in reversed(fillings(sizes[-1], left, sizes, room)):
+    stack: list[tuple[dict[int, int], list[tuple[Filling, int]], int, int, Filling | None]] = [(counts, [], 0, 0, None)]
+    first = True
+    while stack and fewest > bound:
+        left, plan, used, waste, f = stack.pop()
+        left, plan = dict(left), list(plan)
+        sizes = sorted(s for s, n in left.items() if n)
+        while sizes and waste <= (fewest - 1) * room - total:
+            if f is None:
+                if not first and search <= 0:
+                    rest = _greedy(left, room)
+                    plan, used, sizes = plan + rest, used + sum(n for _, n in rest), []
+                    break
+                search -= not first
+                f, *others = fillings(sizes[-1], left, sizes, room)
+                stack.extend((dict(left), list(plan), used, waste, o) for o in reversed(others) if len(stack) < 1000)
             n = _times(f, left)
-            after = {s: c - n * f.count(s) for s, c in left.items()}
-            stack.append(({s: c for s, c in after.items() if c}, [*plan, (f, n)], used + n, waste + n * (room - sum(f))))
+            plan.append((f, n))
+            used, waste = used + n, waste + n * (room - sum(f))
+            _use(f, n, left, sizes)
+            f = None
+        if not sizes and used < fewest:
+            best, fewest = plan, used
+        first = False
+        if search <= 0:
+            break
     return best
 
 
