@@ -88,10 +88,12 @@ def campus_zone(jobs: DataFrame, dim: DataFrame, now) -> DataFrame:
            | text("jd_url").rlike(r"(?i)/(?:xiaozhao|campus|shixi|intern)(?:/|\?|$)"))
     j = jobs.where((F.col("status") == "active") & pre)
     owners = CV.assign_owner(j.select("company").where("company is not null").distinct(), dim)
-    j = j.join(owners, "company").withColumn("_s", T.asks_experience("title", "experience", "summary"))
-    j = j.withColumn("bucket", campus_admission(T.recruitment_category("title", "job_type", "summary", "jd_url", "company", senior=F.col("_s"))))
+    # classified where the texts lie; the join carries flags only
+    j = j.withColumn("_s", T.asks_experience("title", "experience", "summary"))
+    bucket = campus_admission(T.recruitment_category("title", "job_type", "summary", "jd_url", "company", senior=F.col("_s")))
     current = F.col("grad_class").isNull() | (F.col("grad_class") >= current_class(now))
-    kept = F.col("bucket") != "reject"
+    j = j.select("company", bucket.alias("bucket"), current.alias("_current"), "last_seen_at").join(owners, "company")
+    current, kept = F.col("_current"), F.col("bucket") != "reject"
     # counts only: posting lists of a company can be long, read them with campus_jobs
     g = j.groupBy("pos").agg(F.count_if((F.col("bucket") == "campus") & current).alias("campus_jobs"), F.count_if((F.col("bucket") == "intern") & current).alias("intern_jobs"),
                              F.count_if(kept & ~current).alias("past_class"), F.max("last_seen_at").alias("last_seen_at"))

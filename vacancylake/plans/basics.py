@@ -40,7 +40,9 @@ def dedupe_active(jobs):
 @query("flagship_active_by_company", DEDUPED + f"""
   select company, count(*) as active_valid from d where rn = 1 and {VALID} group by company""")
 def flagship(t):
-    kept = dedupe_active(t.jobs).where(T.is_valid_active("status", "summary"))
+    # the test is made where the texts lie; only its outcome is shuffled
+    tested = t.jobs.select("id", "company", "jd_url", "status", "last_seen_at", "first_seen_at", T.is_valid_active("status", "summary").alias("valid"))
+    kept = dedupe_active(tested).where("status = 'active' and valid")
     return kept.groupBy("company").agg(F.count("*").alias("active_valid"))
 
 

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the batch jobs."""
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from typing import Iterator
 
 import pandas as pd
@@ -11,14 +12,15 @@ from ..operators import ingest as I
 from ..operators.ops import LIVENESS_EVENT, OPEN_EVENT
 
 
-def stream_upsert(batches: DataFrame, sources: DataFrame, read_store, publish, now, checkpoint: str):
+def stream_upsert(batches: DataFrame, sources: DataFrame, read_store, publish, checkpoint: str, now_of=None):
     """Upsert every micro-batch into the stored table.
 
     The sticky rules need the whole table, so each batch reads the store, writes a new
-    version named by the batch id and publishes it. A replayed batch writes the same
-    version again, which makes the sink idempotent.
+    version named by the batch id and publishes it. now_of(batch_id) gives a batch its
+    own time, by default the wall clock (UTC) when it runs.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        now = now_of(batch_id) if now_of else datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         stored = read_store(batch.sparkSession)
         jobs, events, _counts = I.upsert_jobs(stored, I.normalize_jobs(batch, sources), now)
         publish(jobs, events, batch_id)
