@@ -88,38 +88,67 @@ class Tree:
         self.children = [order[a:b] for a, b in zip(cuts, cuts[1:])]
         self.leaf = [None if i is None else (np.asarray(i, np.int64), np.frombuffer(x, np.int64).reshape(-1, dim), np.asarray(d)) for i, x, d in zip(pages["ids"], pages["ints"], pages["dists"])]
 
-    def search(self, own_id: int, query: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, id), best first: the k best rows but own_id that score at least `floor`.
+    def search(self, own_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[int, int, int]]:
+        """(query's place, id, score) of the k best rows of each query, but itself, that score at least its floor.
 
-        The page with the highest possible score is opened next. A child or an entry is measured only if the triangle
-        inequality on its stored distance leaves it a chance.
+        Queries travel together. The page with the highest possible score for any of them is opened next, by those that
+        it can still help. A child or an entry is measured only if the triangle inequality on its stored distance leaves
+        it a chance.
         """
-        q = np.append(query.astype(np.float64), 0.0)
-        base = float(q @ q) + self.square
+        q = np.concatenate((queries.astype(np.float64), np.zeros((len(queries), 1))), 1)
+        base = (q * q).sum(1) + self.square
         slack = ROUNDING * base + 1e-6
-        most = lambda dist: (base - np.maximum(dist, 0) ** 2) / 2 + slack  # noqa: E731  highest score at this distance or more
-        best: list[tuple[int, int]] = []  # heap of (score, -id)
-        d = float(_distances(self.center[:1], q)[0])
-        heap = [(-float(most(d - self.radius[0])), 0, d)]
+        exact = self.square < 2**52 and base.max() < 2**52  # whole numbers that doubles hold
+        scores, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+        low = floors.astype(np.float64).copy()
+
+        def most(rows: np.ndarray, dist: np.ndarray) -> np.ndarray:
+            """Highest score at this distance or more."""
+            shape = (-1,) + (1,) * (dist.ndim - 1)
+            return (base[rows].reshape(shape) - np.maximum(dist, 0) ** 2) / 2 + slack[rows].reshape(shape)
+
+        def push(page: int, rows: np.ndarray, dist: np.ndarray) -> None:
+            top = most(rows, dist - self.radius[page])
+            go = top >= low[rows]
+            if go.any():
+                heapq.heappush(heap, (-float(top.max()), page, rows[go], dist[go], top[go]))
+
+        heap: list = []
+        push(0, np.arange(len(q)), _distances(q, self.center[0]))
         while heap:
-            bound, page, d = heapq.heappop(heap)
-            low = max(floor, best[0][0] if len(best) == k else -np.inf)
-            if -bound < low:
-                break
-            if self.leaf[page] is not None:
-                ids, ints, dists = self.leaf[page]
-                rows = np.flatnonzero((most(np.abs(d - dists)) >= low) & (ids != own_id))
-                for score, i in zip((ints[rows] @ query).tolist(), ids[rows].tolist()):
-                    if score >= floor and (len(best) < k or (score, -i) > best[0]):
-                        (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (score, -i))
-            else:
-                kids = self.children[page]
-                kids = kids[most(np.abs(d - self.parent_dist[kids]) - self.radius[kids]) >= low]
-                dist = _distances(self.center[kids], q)
-                for kid, own, top in zip(kids.tolist(), dist.tolist(), most(dist - self.radius[kids]).tolist()):
-                    if top >= low:
-                        heapq.heappush(heap, (-top, kid, own))
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+            _, page, rows, d, top = heapq.heappop(heap)
+            go = top >= low[rows]
+            rows, d = rows[go], d[go]
+            if not len(rows):
+                continue
+            if self.leaf[page] is None:
+                for kid in self.children[page]:
+                    near = most(rows, np.abs(d - self.parent_dist[kid]) - self.radius[kid]) >= low[rows]
+                    if near.any():
+                        push(kid, rows[near], _distances(q[rows[near]], self.center[kid]))
+                continue
+            own, ints, dists = self.leaf[page]
+            chance = (most(rows, np.abs(d[:, None] - dists[None, :])) >= low[rows][:, None]) & (own[None, :] != own_ids[rows][:, None])
+            some, cols = chance.any(1), chance.any(0)
+            rows, chance, own = rows[some], chance[some][:, cols], own[cols]
+            if not len(rows):
+                continue
+            points = ints[cols]
+            found = queries[rows].astype(np.float64) @ points.T.astype(np.float64) if exact else (queries[rows] @ points.T).astype(np.float64)
+            found = np.where(chance & (found >= low[rows][:, None]), found, -np.inf)
+            hit = (found > -np.inf).any(1)
+            rows = rows[hit]
+            both = np.concatenate((scores[rows], found[hit]), 1)
+            names = np.concatenate((ids[rows], np.broadcast_to(own, (len(rows), len(own)))), 1)
+            order = np.argsort(names, 1, kind="stable")
+            order = np.take_along_axis(order, np.argsort(-np.take_along_axis(both, order, 1), 1, kind="stable"), 1)[:, :k]
+            scores[rows], ids[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+            low[rows] = np.maximum(low[rows], scores[rows, -1])
+        at, j = np.nonzero(scores > -np.inf)
+        if exact:
+            return [(int(a), int(ids[a, b]), int(scores[a, b])) for a, b in zip(at, j)]
+        place = {int(i): x for leaf in self.leaf if leaf is not None for i, x in zip(leaf[0], leaf[1])}
+        return [(int(a), int(ids[a, b]), int(queries[a] @ place[int(ids[a, b])])) for a, b in zip(at, j)]
 
 
 @F.pandas_udf(ArrayType(LongType()))
@@ -181,8 +210,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, vec_id: str = "vec_id",
         if len(own) and len(asked):
             dim = int(own["dim"].iloc[0])
             tree = Tree(own, dim, square)
-            for i, x, low in zip(asked["vec_id"], asked["ints"], asked["floor"]):
-                out += [(i, j, s) for s, j in tree.search(int(i), np.asarray(x, np.int64), k, low)]
+            ids = asked["vec_id"].to_numpy()
+            found = tree.search(ids, np.stack([np.asarray(x, np.int64) for x in asked["ints"]]), k, asked["floor"].to_numpy())
+            out = [(ids[a], j, score) for a, j, score in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype(np.int64)
 
     def answers(asked: DataFrame) -> DataFrame:
