@@ -10,7 +10,7 @@ from vacancylake.llm.common import fold, table
 
 #: Rules of the URL query (action, host, path) and the host labels whose pages make up its list: fixed values.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-LISTED_LABELS = ("ads-track", "spam-farm")
+LISTED_LABELS = ("ads-track", "spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ c as (select *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '
 rules(action, rhost, rpath) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 fits as (select h.host, h.path, arg_max(rhost || rpath, length(rhost || rpath)) as rule, arg_max(action, length(rhost || rpath)) as action
   from (select distinct host, path from c) h join rules on (h.host = rhost or ends_with(h.host, '.' || rhost)) and starts_with(h.path, rpath) group by h.host, h.path),
-listed as (select distinct canon from c where list_has_any(string_split(host, '.'), ['ads-track', 'spam-farm']))
+listed as (select distinct canon from c where list_has_any(string_split(host, '.'), ['ads-track', 'spam-farm', 'casino-win', 'cheap-pills', 'free-bets', 'adult-x']))
 select page_id, c.host, c.path, f.rule, coalesce(f.action, case when l.canon is not null and c.host <> '' then 'block' else 'allow' end) as verdict
 from c left join fits f on c.host = f.host and c.path = f.path left join listed l on l.canon = c.canon""",
 }
