@@ -94,13 +94,18 @@ def region_members(feats: DataFrame, classes: DataFrame) -> tuple[DataFrame, Dat
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sk, own): the whole sets, as bytes, of the classes in wanted (sk, rep)."""
+    """(sk, own): the whole sets, as bytes, of the classes in wanted (sk, rep).
+
+    wanted grows with the corpus, so the join is a merge at any size; its texts are stored before sets are made of them,
+    as the planner would otherwise make the sets of all texts first.
+    """
     @F.pandas_udf(StructType().add("sk", "long").add("own", "binary"))
     def whole(texts: pd.Series) -> pd.DataFrame:
         sets = [shingles.shingle_set(t) for t in texts]
         return pd.DataFrame({"sk": [shingles.set_key(s) for s in sets], "own": [s.tobytes() for s in sets]})
 
-    made = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.withColumnRenamed("sk", "named"), "rep").select("named", whole("text").alias("w"))
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted.withColumnRenamed("sk", "named").hint("merge"), "rep")
+    made = stored(texts.select("named", "text"), "texts").select("named", whole("text").alias("w"))
     return stored(made.where("named = w.sk").select("w.sk", "w.own").dropDuplicates(["sk"]), "sets")
 
 
