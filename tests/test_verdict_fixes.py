@@ -66,3 +66,13 @@ def test_untried_ledger_rows_keep_their_times(spark):
     res = spark.createDataFrame([("b", "t", {"k": "2"}, None)], "company string, state string, evidence map<string,string>, fail_reason string")
     got = {r["company"]: (str(r["last_attempt_at"])[:10], r["fail_reason"]) for r in ingest.merge_gap_attempts(prev, res, NOW).collect()}
     assert got == {"a": ("2001-01-01", "why"), "b": ("2001-08-01", None)}
+
+
+def test_detail_links_of_platforms(one):
+    from vacancylake.functions import urls as U
+    cases = [("https://jobs.apple.com/en-us/details/1/x", "apple", True), ("https://jobs.apple.com/de-de/details/1/x", "apple", False), ("https://talent.baidu.com/jobs/detail/INTERN/7", "baidu", True),
+             ("https://zhaopin.jd.com/web/job-info-detail?requementId=12", "jd", True), ("https://zhaopin.jd.com/web/job-info-detail?requementId=a", "jd", False), ("https://boards.greenhouse.io/a/jobs/1", "greenhouse", True),
+             ("https://app.mokahr.com/apply/acme#/job/1", "moka", True), ("https://app.mokahr.com/apply/acme", "moka", False), ("https://jobs.lever.co/a/b", "lever", True), ("ftp://jobs.lever.co/a/b", "lever", False),
+             ("https://a.cn/position/12", "generic_official_detail", True), ("https://a.cn/positions/", "generic_official_detail", False), ("https://a.cn/job/x?page=2", "generic_official_detail", False),
+             ("https://a.cn/job/x?page=2&jobId=3", "generic_official_detail", True), ("https://a.cn/%E6%8B%9B%E8%81%98/1", "generic_official_detail", True), ("https://a.cn/", "generic_official_detail", False), (None, "lever", False), ("https://a.cn/job/1", "other", False)]
+    assert [one(lambda: U.is_detail_url("u", "p"), u=u, p=p) for u, p, _ in cases] == [want for _, _, want in cases]

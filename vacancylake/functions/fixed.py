@@ -394,3 +394,19 @@ SCORE_TIERS = [(70, "high"), (45, "related"), (30, "explore")]
 SIGNAL_PRIORITY = {"CLOSED_OR_STALE": 1, "DEADLINE_SOON": 2, "STILL_OPEN": 3, "OPEN_UNVERIFIED": 4}
 EXPLORE_CAP = 5
 WAITING_CAP = 8
+
+# fixed values: detail pages of known platforms as (host pattern, path pattern, query pattern, fragment pattern); None is no test
+DETAIL_PAGES = {
+    "apple": (r"^jobs\.apple\.com$", r"^/en-us/details/[^/]+/[^/]+", None, None),
+    "baidu": (r"^talent\.baidu\.com$", r"^/jobs/detail/(SOCIAL|GRADUATE|INTERN)/[^/]+", None, None),
+    "jd": (r"^zhaopin\.jd\.com$", r"^/web/job-info-detail$", r"(?:^|&)requementId=\d+(?:&|$)", None),
+    "greenhouse": (r"greenhouse\.io$", r"/jobs/[^/]+", None, None),
+    "lever": (r"^jobs\.lever\.co$", r"^/[^/]+/[^/]+", None, None),
+    "moka": (r"^app\.mokahr\.com$", r"^/(apply|campus_apply|social-recruitment)/[^/]+", None, r"^/job/[^/]+"),
+}
+# fixed values: paths, queries and words that tell a list page from a detail page of other sites
+LIST_PATH = r"/(search|list|jobs?|careers?|career|campus|social|position|positions|recruit|recruitment|joinus|join-us|index)/?$"
+LIST_QUERY = r"(search|keyword|query|page)="
+ID_QUERY = r"(id|jobid|job_id|postid|positionid|position_id|requementid|requirementid)="
+DETAIL_WORDS = ["detail", "job", "jobs", "position", "positions", "opening", "openings", "recruit", "joinus", "career", "careers"]
+DETAIL_WORDS_CJK = ["招聘", "职位", "岗位"]

@@ -83,3 +83,31 @@ def source_board(adapter, url) -> Column:
              .when(u.rlike(r"campus|/school|school\.html|/grad|university|xiaozhao"), "campus")
              .when(u.rlike(r"intern|shixi"), "intern")
              .otherwise("social"))
+
+
+URL_PARTS = r"^(?i)https?://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def is_detail_url(url, platform) -> Column:
+    """Whether a link leads to one posting of its platform, or of any site for generic_official_detail.
+
+    Links without http(s), a host or a path lead nowhere; unknown platforms have no detail pages.
+    """
+    u = F.trim(text(url))
+    part = lambda k: F.regexp_extract(u, URL_PARTS, k)
+    hostname, path, query, fragment = F.lower(part(1)), part(2), part(3), part(4)
+    found = F.lit(False)
+    for name, (at_host, at_path, at_query, at_fragment) in V.DETAIL_PAGES.items():
+        tests = [hostname.rlike(at_host), path.rlike(at_path)]
+        tests += [query.rlike(at_query)] if at_query else []
+        tests += [fragment.rlike(at_fragment)] if at_fragment else []
+        hit = tests[0]
+        for t in tests[1:]:
+            hit = hit & t
+        found = F.when(text(platform) == name, hit).otherwise(found)
+    low, asked = F.lower(path), F.lower(query)
+    listing = low.rlike(V.LIST_PATH) | (asked.rlike(V.LIST_QUERY) & ~asked.rlike(V.ID_QUERY))
+    words = F.regexp_replace(F.coalesce(F.try_url_decode(F.replace(low, F.lit("+"), F.lit("%2B"))), F.lit("")), r"[._/-]+", " ")
+    named = words.rlike(r"(?<![A-Za-z0-9_])(?:" + "|".join(V.DETAIL_WORDS) + r")(?![A-Za-z0-9_])|" + "|".join(V.DETAIL_WORDS_CJK))
+    found = F.when(text(platform) == "generic_official_detail", ~listing & named).otherwise(found)
+    return (part(1) != "") & ~path.isin("", "/") & found

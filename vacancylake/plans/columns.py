@@ -236,6 +236,19 @@ def _(t):
     return t.posts.select("id", U.job_identity("jd_url").alias("identity"))
 
 
+DETAIL_LINK = "case page_id % 4 when 0 then regexp_replace(url, '/(en|de)/', '/job/') when 1 then regexp_replace(url, '^https?://[^/]+', 'https://jobs.lever.co') when 2 then regexp_replace(url, '^https?://[^/]+/[a-z]+', 'https://boards.greenhouse.io/x/jobs') else url end"
+
+
+@query("detail_urls", f"""with p as (select page_id, {DETAIL_LINK} as u from pages),
+  q as (select page_id, lower(regexp_extract(u, '^https?://([^/?#]+)', 1)) as h, regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1) as path, lower(regexp_extract(u, '[?]([^#]*)', 1)) as qs from p)
+  select page_id, path not in ('', '/') and not regexp_matches(lower(path), '{V.LIST_PATH}') and not (regexp_matches(qs, '{V.LIST_QUERY}') and not regexp_matches(qs, '{V.ID_QUERY}')) and regexp_matches(regexp_replace(lower(path), '[._/-]+', ' ', 'g'), '\\b({"|".join(V.DETAIL_WORDS)})\\b') as generic,
+  h = 'jobs.lever.co' and regexp_matches(path, '^/[^/]+/[^/]+') as lever, ends_with(h, 'greenhouse.io') and regexp_matches(path, '/jobs/[^/]+') as greenhouse, false as unknown from q""")
+def _(t):
+    p = t.pages.select("page_id", F.expr(DETAIL_LINK).alias("u"))
+    is_detail = lambda name: U.is_detail_url("u", F.lit(name))
+    return p.select("page_id", is_detail("generic_official_detail").alias("generic"), is_detail("lever").alias("lever"), is_detail("greenhouse").alias("greenhouse"), is_detail("other").alias("unknown"))
+
+
 @query("hosts", f"select page_id, h as host, array_to_string(list_slice(string_split(regexp_replace(h, '^www\\.', ''), '.'), -2, -1), '.') as registrable, false as shared from (select page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) as h from pages)")
 def _(t):
     h = t.pages.select("page_id", U.host("url").alias("host"))
