@@ -123,7 +123,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: i
     stat = {c: F.col(c) for c in names}
     binary = train.select("label", F.array(*[holds(r, stat).cast("double") for r in rules]).alias("r"))
     binary = binary.select("label", array_to_vector("r").alias("features")).cache()
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=80, standardization=False).fit(binary)
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=40, tol=1e-4, standardization=False).fit(binary)
     binary.unpersist()
     weights = lasso.coefficients.toArray()
     return RuleEnsemble(tuple((r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-9), float(lasso.intercept))
