@@ -15,15 +15,29 @@ from vacancylake.llm.common import bounded_batches, stored
 from vacancylake.llm.wordbpe import tokenizer
 
 LENGTH, END_ID = 2048, 0
+CHUNK_CHARS = 2_000_000  # characters encoded at once, which bounds a worker's memory
 FILLINGS, NODES, SEARCH = 3, 300, 2_000  # fillings tried at a branch, nodes to find them, fillings looked for after the first descent
 SALT_ROWS, LEAST_SALTS = 100_000, 64
 
 Filling = tuple[int, ...]  # lengths in a sequence, largest first
 
 
+def _raw_ids(model: str, texts: list[str]) -> Iterator[bytes]:
+    """Little-endian ids of each text and the end id; texts are encoded some megabytes at a time."""
+    own, size = [], 0
+    for k, t in enumerate(texts):
+        own.append(t)
+        size += len(t)
+        if size >= CHUNK_CHARS or k + 1 == len(texts):
+            flat, ends = tokenizer(model).encode(own)
+            for a, b in zip(ends, ends[1:]):
+                yield flat[a:b].tobytes() + END_ID.to_bytes(4, "little")
+            own, size = [], 0
+
+
 def pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """keep + (piece, start, length, ids_crc32[, ids]): each document's ids and one end id, cut every `length` ids."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 1000)
     kind = StructType().add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         kind.add("ids", ArrayType(IntegerType()))
@@ -31,9 +45,7 @@ def pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), tex
     @F.pandas_udf(ArrayType(kind))
     def cut(texts: pd.Series) -> pd.Series:
         out = []
-        flat, ends = tokenizer(model).encode([t or "" for t in texts])
-        for a, b in zip(ends, ends[1:]):
-            raw = flat[a:b].tobytes() + END_ID.to_bytes(4, "little")
+        for raw in _raw_ids(model, [t or "" for t in texts]):
             own = []
             for at in range(0, len(raw), 4 * length):
                 part = raw[at:at + 4 * length]

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 NONE = np.iinfo(np.int32).max
-REMEMBERED = 200_000  # words from the library that a worker keeps before it starts afresh
+REMEMBERED = 50_000  # words from the library that a worker keeps before it starts afresh
 TABLE_BITS = 18
 
 
