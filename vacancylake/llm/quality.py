@@ -83,9 +83,12 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-total))
 
     def scored(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-        """docs plus the score; statistics live in a column of a name that nothing else has."""
+        """docs plus the score; statistics live in a column of a name that nothing else has.
+
+        The always true test on rand() keeps the planner from writing the statistics out anew in each rule.
+        """
         own = f"stats_{uuid.uuid4().hex}"
-        stats = F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()])
+        stats = F.when(F.rand(0) >= 0, F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()]))
         made = docs.withColumn(own, stats)
         return made.select(*[F.col(f"`{c}`") for c in docs.columns], self.score({k: F.col(f"{own}.{k}") for k in statistics(F.col(text))}).alias(out))
 
