@@ -2,7 +2,6 @@
 regression weighs them, and the rules that keep a weight are compiled into one Spark column expression."""
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 from math import log
 
@@ -82,16 +81,6 @@ class RuleEnsemble:
             total = total + F.when(holds(rule, stats), F.lit(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
-    def scored(self, docs: DataFrame, text: str = "text", out: str = "score") -> DataFrame:
-        """docs plus the score; statistics live in a column of a name that nothing else has.
-
-        The always true test on rand() keeps the planner from writing the statistics out anew in each rule.
-        """
-        own = f"stats_{uuid.uuid4().hex}"
-        stats = F.when(F.rand(0) >= 0, F.struct(*[c.alias(k) for k, c in statistics(F.col(text)).items()]))
-        made = docs.withColumn(own, stats)
-        return made.select(*[F.col(f"`{c}`") for c in docs.columns], self.score({k: F.col(f"{own}.{k}") for k in statistics(F.col(text))}).alias(out))
-
 
 def statistics_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, statistics), written once; texts are read a single time."""
@@ -151,7 +140,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, all columns unchanged."""
-    model = fit(statistics_table(docs), labels)
-    own = f"score_{uuid.uuid4().hex}"
-    return model.scored(docs, out=own).where(F.col(own) >= threshold).drop(own)
+    """The rows of docs that the classifier accepts, all columns unchanged.
+
+    Texts are measured once, in the stored statistics; rejected rows are found again by id and the text's hash.
+    """
+    stats = _keyed_statistics(docs)
+    names = list(statistics(F.lit("")))
+    model = fit(stats.select("doc_id", *names), labels)
+    score = model.score({c: F.col(c) for c in names})
+    gone = stats.where(score < threshold).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_text")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_text"]), "left_anti")
+
+
+def _keyed_statistics(docs: DataFrame) -> DataFrame:
+    return stored(docs.select("doc_id", F.xxhash64("text").alias("text_key"), *[c.alias(k) for k, c in statistics(F.col("text")).items()]), "stats")
