@@ -92,3 +92,35 @@ def test_phrase_counts_are_those_of_plain_search():
         for t, g in zip(texts, got):
             # every miss starts a phrase with the missed letter; letters without a match count as one
             assert abs(g - phrases(t, s)) <= 1 + sum(c not in s for c in t)
+
+
+def test_every_letter_of_large_scripts_counts(documents):
+    rng = random.Random(9)
+    latin, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюяѓќљњџіїєґ"
+    han = [chr(0x4E00 + i) for i in range(3000)]
+
+    def maker(letters, n, words):
+        own = ["".join(rng.choices(letters, k=n)) for _ in range(words)]
+        return lambda k: " ".join(rng.choices(own, k=k))
+
+    # pairs of languages share a script and differ by their words alone
+    make = {"en": maker(latin, 5, 300), "de": maker(latin, 5, 300), "el": maker(greek, 5, 300), "el2": maker(greek, 5, 300), "ru": maker(cyrillic, 5, 300), "uk": maker(cyrillic, 5, 300),
+            "zh": maker(han, 3, 1500), "ja": maker(han, 3, 1500)}
+    rows = [(1000 * i + j, m(200 if j else 2), k) for i, (k, m) in enumerate(make.items()) for j in range(40)]
+    docs = documents(rows)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.training_sample(docs)).collect()}
+    wrong = [(i, lang, got[i]) for i, _, lang in rows if i % 1000 and got[i] != lang]
+    assert not wrong, wrong[:5]
+
+
+def test_phrase_counts_with_many_letters():
+    rng = random.Random(10)
+    han = [chr(0x4E00 + i) for i in range(400)]
+    words = ["".join(rng.choices(han, k=4)) for _ in range(200)]
+    sample = "".join(words + rng.choices(words, k=400))
+    own = language.Parser((("zh", sample), ("x", "abc")))
+    assert len(own.tables[0]) // language.WIDTH > 600
+    for text in ["".join(rng.choices(words, k=30)) for _ in range(20)]:
+        cost, _ = own.costs([text])
+        assert abs(cost[0, 0] / own.weights[0] - phrases(text, sample)) <= 1, text
+        assert cost[0, 1] / own.weights[1] == 1 + len(text)

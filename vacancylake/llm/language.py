@@ -14,9 +14,9 @@ from vacancylake.llm.common import bounded_batches, fold
 
 SAMPLE_CHARS = 30_000  # training characters of a language; bounds the automata (at most twice as many states)
 SAMPLE_DOCS, LONG = 120, 8_000  # documents of a language to choose from; longer ones come last and are cut to this
-ALPHABET = 60  # most frequent letters of all samples
-PAD, SPACE, OTHER, FIRST = 0, 1, 2, 3  # codes
-WIDTH = 64  # codes of a transition row
+PAD, SPACE, OTHER, FIRST = 0, 1, 2, 3  # codes; OTHER is a letter of no sample
+WIDTH = 64  # columns of a transition row: PAD, SPACE, OTHER, the 60 most frequent letters of the language, and RARE for its further letters
+RARE = WIDTH - 1  # their transitions are looked up in a sorted list
 SEGMENT, LANES = 256, 8192  # a text is parsed in segments of this length, many segments at a time
 MISS = 1 << 30
 
@@ -83,30 +83,53 @@ def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], list[int]]
 
 
 class Parser:
-    """Automata of all languages as dense tables. A table entry is the next row's start; MISS marks that the longest match
-    ended and the entry starts a new phrase at the root. PAD stays where it is."""
+    """Automata of all languages as dense tables, with sorted lists for rare letters. An entry is the next row's start; MISS marks
+    that the longest match ended and the entry starts a new phrase at the root. PAD stays where it is. Every letter of the samples
+    has a code of its own; each language gives columns to its own most frequent letters."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [k for k, _ in samples]
         seen = Counter(c for _, t in samples for c in t.lower() if c.isalpha())
-        self.code = np.where(_letters(), OTHER, SPACE).astype(np.uint8)
-        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]):
+        self.code = np.where(_letters(), OTHER, SPACE).astype(np.int32)
+        for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))):
             self.code[ord(c)] = FIRST + i
-        self.tables, self.weights = [], []
+        self.size = FIRST + len(seen)
+        self.columns, self.tables, self.rare, self.weights = [], [], [], []
         for _, text in samples:
             codes = self.codes(text)
-            codes = codes[codes != OTHER]
+            own = sorted(Counter(codes[codes >= FIRST].tolist()).items(), key=lambda x: (-x[1], x[0]))
+            column = np.full(self.size, OTHER, np.int32)
+            column[[PAD, SPACE]] = PAD, SPACE
+            for i, (c, _) in enumerate(own):
+                column[c] = min(FIRST + i, RARE)
             step, _ = suffix_automaton(codes.tolist())
+            rows = np.repeat(np.arange(len(step)), [len(x) for x in step])
+            letter = np.array([c for x in step for c in x], np.int64)
+            to = np.array([s for x in step for s in x.values()], np.int64) * WIDTH
+            rare = column[letter] == RARE
             root = np.full(WIDTH, MISS, np.int32)
+            first = np.full(self.size, MISS, np.int32)  # where a new phrase begins, by letter
             for c, s in step[0].items():
-                root[c] = MISS | s * WIDTH
+                first[c] = MISS | s * WIDTH
+                if column[c] != RARE:
+                    root[column[c]] = first[c]
             tab = np.repeat(root[None, :], len(step), 0)
-            rows = np.repeat(np.arange(len(step)), [len(x) for x in step])
-            tab[rows, [c for x in step for c in x]] = np.array([s for x in step for s in x.values()], np.int64) * WIDTH
+            tab[rows[~rare], column[letter[~rare]]] = to[~rare]
             tab[:, PAD] = np.arange(len(step)) * WIDTH
+            key = rows[rare] * self.size + letter[rare]
+            order = np.argsort(key)
+            self.columns.append(column)
             self.tables.append(tab.ravel())
+            self.rare.append((key[order], to[rare][order].astype(np.int32), first))
             self.weights.append(np.log2(len(codes) + 2))
 
+    def _rare(self, k: int, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Entries of language k for rare letters."""
+        keys, to, first = self.rare[k]
+        want = (state // WIDTH).astype(np.int64) * self.size + letter
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        return np.where(keys[at] == want, to[at], first[letter])
+
     def codes(self, text: str) -> np.ndarray:
         """Codes of a text: letters, and one SPACE for each run of anything else."""
         c = self.code[_points(text)]
@@ -120,7 +143,7 @@ class Parser:
             has[i] = bool((c != SPACE).any())
             if has[i]:
                 n = -(-len(c) // SEGMENT)
-                parts.append(np.concatenate((c, np.zeros(n * SEGMENT - len(c), np.uint8))).reshape(n, SEGMENT))
+                parts.append(np.concatenate((c, np.zeros(n * SEGMENT - len(c), np.int32))).reshape(n, SEGMENT))
                 owner.append(np.full(n, i))
         cost = np.zeros((len(texts), len(self.names)))
         if parts:
@@ -129,9 +152,16 @@ class Parser:
                 block = np.ascontiguousarray(lanes[at:at + LANES].T)
                 for k, tab in enumerate(self.tables):
                     state, phrases = np.zeros(block.shape[1], np.int32), np.zeros(block.shape[1], np.int32)
-                    for row in block:
+                    own = self.columns[k][block]
+                    line, lane = np.nonzero(own == RARE)
+                    ends = np.searchsorted(line, np.arange(len(block) + 1))
+                    for i, row in enumerate(own):
+                        at_rare = lane[ends[i]:ends[i + 1]]
+                        found = self._rare(k, state[at_rare], block[i, at_rare]) if len(at_rare) else None
                         state += row
                         state = tab.take(state)
+                        if found is not None:
+                            state[at_rare] = found
                         phrases += state >> 30
                         state &= MISS - 1
                     np.add.at(cost[:, k], owner[at:at + LANES], (phrases + 1) * self.weights[k])
