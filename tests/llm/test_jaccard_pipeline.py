@@ -1,6 +1,8 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -108,3 +110,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert after["secret_scan"][304].endswith("[secret]") and after["secret_scan"][1] == rows[1][1]
     assert {r["doc_id"] for r in now.collect()} == set(after["secret_scan"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_linked_pairs_in_stripes_are_those_of_plain_search(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [rng.choice(200, 12, replace=False) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(12) < 0.08, rng.integers(0, 300, 12), base[i % 6])).astype(np.int64) for i in range(150)]
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    for cells in (1 << 22, 1000, 100):
+        monkeypatch.setattr(shingles, "CELLS", cells)
+        got = [(int(x), int(y)) for a, b in shingles.Members(sets).linked(np.arange(150)) for x, y in zip(a, b)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_alike_but_unlinked_sets_stay_small():
+    sets = [np.array([1, 2, 3, 4, 5, 100 + 2 * i, 101 + 2 * i], np.int64) for i in range(6000)]
+    sets += [np.arange(10**6, 10**6 + 10), np.arange(10**6, 10**6 + 9)]
+    tracemalloc.start()
+    links = shingles.region_links(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert links == [(6000, 6001)] or links == [(6001, 6000)]
+    assert peak < 150e6, peak  # 6000 x 6000 floats alone are 144 MB
+
+
+def test_regions_of_many_rows_are_dealt(documents, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROWS", 7)
+    same = "one two three four five six seven eight nine"
+    rows = [(i, f"{same} w{i} x{i}") for i in range(60)] + [(100 + i, f"{same} ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen " + "end" * (i % 2)) for i in range(6)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_groups(documents(rows)).collect()}
+    assert got == {i: i for i in range(60)} | {100 + i: 100 for i in range(6)}

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
@@ -20,6 +20,7 @@ from vacancylake.llm.common import bounded_batches, components, stored
 
 SAMPLE_DOCS, SEEN, FREQUENT = 10_000, 3, 200_000  # documents that frequent shingles are looked for in, times seen, list length
 REGION, TASK = 2_000_000, 500_000  # shingles in all sets of a region that one task joins; of a task with several regions
+ROWS = 4_000  # sets of a region that one task joins; of a block
 RING, STEP = 0.2 + 1e-6, float(np.log(1.25)) + 1e-6  # no link spans more than one ring of distances or one step of sizes
 
 
@@ -119,9 +120,14 @@ def _links(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
 
 
+def too_large() -> Column:
+    """Whether a region has more shingles or more sets than one task joins."""
+    return (F.col("weight") > REGION) | (F.col("members") > ROWS)
+
+
 def small_links(members: DataFrame, regions: DataFrame, sets: DataFrame) -> DataFrame:
     """Links in the regions that one task can hold, several regions to a task."""
-    own = regions.where(F.col("weight") <= REGION)
+    own = regions.where(~too_large())
     tasks = max(1, int((own.agg(F.sum("weight")).first()[0] or 0) // TASK))
     rows = members.join(own.select("p"), "p").join(sets, "sk").select(F.col("p").alias("cell"), "sk", "own", F.lit(False).alias("joined"), F.pmod(F.xxhash64("p"), F.lit(tasks)).alias("task"))
     return rows.groupBy("task").applyInPandas(_links, "a long, b long")
@@ -130,7 +136,7 @@ def small_links(members: DataFrame, regions: DataFrame, sets: DataFrame) -> Data
 def large_links(members: DataFrame, regions: DataFrame, sets: DataFrame) -> DataFrame:
     """Links in the other regions. Sets linked to the center are joined by that; the rest, and those near enough to one
     of them, meet in cells of distance rings and size steps. A cell still too large is dealt to tasks by pairs of blocks."""
-    big = regions.where(F.col("weight") > REGION).select("p", "center")
+    big = regions.where(too_large()).select("p", "center")
     centers = big.join(sets.withColumnRenamed("sk", "center").withColumnRenamed("own", "center_set"), "center").select("p", "center", "center_set")
 
     @F.pandas_udf("double")
@@ -150,7 +156,7 @@ def large_links(members: DataFrame, regions: DataFrame, sets: DataFrame) -> Data
     moves = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(s).alias("s")) for r, s in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
     cells = rest.select("p", "sk", "own", "joined", "ring", "step", F.explode(moves).alias("m")).select("p", "sk", "own", "joined", (F.col("ring") + F.col("m.r")).alias("ring"), (F.col("step") + F.col("m.s")).alias("step"))
     cell = ["p", "ring", "step"]
-    blocks = cells.groupBy(cell).agg(F.ceil(F.sum(F.length("own")) / (8.0 * REGION)).alias("blocks"))
+    blocks = cells.groupBy(cell).agg(F.greatest(F.ceil(F.sum(F.length("own")) / (8.0 * REGION)), F.ceil(F.count("*") / ROWS)).alias("blocks"))
     dealt = cells.join(blocks, cell).withColumn("mine", F.pmod(F.xxhash64("sk"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64(*cell).alias("cell"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sk", "own", "joined")
     return star.union(dealt.groupBy("cell", "i", "j").applyInPandas(_links, "a long, b long"))
@@ -173,7 +179,7 @@ def jaccard_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = members.join(regions.select("p"), "p").select("sk").distinct().join(classes.select("sk", "rep"), "sk")
     sets = candidate_sets(docs, stored(wanted, "wanted"))
     links = small_links(members, regions, sets)
-    if regions.where(F.col("weight") > REGION).limit(1).count():
+    if regions.where(too_large()).limit(1).count():
         links = links.union(large_links(members, regions, sets))
     names = classes.select("sk", "rep")
     edges = links.distinct().join(names.withColumnRenamed("sk", "a").withColumnRenamed("rep", "ra"), "a").join(names.withColumnRenamed("sk", "b").withColumnRenamed("rep", "rb"), "b")

@@ -91,25 +91,43 @@ class Members:
         both = hits[self.start[rows] + self.size[rows]] - hits[self.start[rows]]
         return 1 - both / (self.size[i] + self.size[rows] - both)
 
-    def overlaps(self, rows: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of all pairs of rows, by products of incidence blocks of shared elements."""
+    def linked(self, rows: np.ndarray):
+        """Pairs (places in rows, the first smaller) of similarity 0.8 or more, a stripe of rows at a time: intersections with all
+        later rows by products of incidence blocks of shared elements. No array has more than about CELLS cells for any number of rows."""
         flat = np.concatenate([self.items[a:a + n] for a, n in zip(self.start[rows], self.size[rows])])
         owner = np.repeat(np.arange(len(rows)), self.size[rows])
         values, item, count = np.unique(flat, return_inverse=True, return_counts=True)
         shared = count[item] > 1
-        item, owner = np.unique(item[shared], return_inverse=True)[1], owner[shared]
-        out = np.zeros((len(rows), len(rows)), np.float32)
-        order = np.argsort(item, kind="stable")
+        item, owner = item[shared], owner[shared]
+        order = np.argsort(owner, kind="stable")
         item, owner = item[order], owner[order]
-        width = max(256, min(8192, (1 << 23) // max(1, len(rows))))
-        for at in range(0, int(item[-1]) + 1 if len(item) else 0, width):
-            lo, hi = np.searchsorted(item, (at, at + width))
-            block = np.zeros((len(rows), width), np.float32)
-            block[owner[lo:hi], item[lo:hi] - at] = 1
-            out += block @ block.T
-        return out
-
-
+        size = self.size[rows]
+        at = 0
+        while at < len(rows):
+            rest = len(rows) - at
+            end = min(len(rows), at + max(1, CELLS // rest))
+            lo, mid = np.searchsorted(owner, (at, end))
+            inside = np.unique(item[lo:mid])
+            place = np.minimum(np.searchsorted(inside, item[lo:]), max(0, len(inside) - 1))
+            hit = inside[place] == item[lo:] if len(inside) else np.zeros(len(item) - lo, bool)
+            place, row = place[hit], owner[lo:][hit] - at
+            by = np.argsort(place, kind="stable")
+            place, row = place[by], row[by]
+            both = np.zeros((end - at, rest), np.float32)
+            width = max(1, min(8192, 2 * CELLS // rest))
+            for first in range(0, len(inside), width):
+                x, y = np.searchsorted(place, (first, first + width))
+                block = np.zeros((rest, min(width, len(inside) - first)), np.float32)
+                block[row[x:y], place[x:y] - first] = 1
+                both += block[:end - at] @ block.T
+            sizes = size[at:].astype(np.float32)
+            a, b = np.nonzero(5 * both >= 4 * (sizes[:end - at, None] + sizes[None, :] - both))
+            later = a < b
+            yield a[later] + at, b[later] + at
+            at = end
+
+
+CELLS = 1 << 22
 PIVOTS, SMALL, EPS = 8, 48, 0.2
 
 
@@ -161,9 +179,9 @@ def region_links(sets: list[np.ndarray], together: tuple[int, ...] = ()) -> list
             if max(map(len, parts)) < 0.7 * len(rows):
                 todo.extend(parts)
                 continue
-        both = members.overlaps(rows)
-        size = members.size[rows]
-        a, b = np.nonzero(np.triu(5 * both >= 4 * (size[:, None] + size[None, :] - both), 1))
-        for x, y in zip(rows[a].tolist(), rows[b].tolist()):
-            join(x, y)
+        for a, b in members.linked(rows):
+            tops = np.array([root(int(r)) for r in rows])
+            new = tops[a] != tops[b]
+            for x, y in zip(rows[a[new]].tolist(), rows[b[new]].tolist()):
+                join(x, y)
     return links
