@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +61,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = stored(step.join(jump, "best", "left").select("node", F.least("best", F.coalesce("far", "best")).alias("label")), "labels")
 
 
+def numbered(rows: DataFrame, order: list[str], within: str | None = None) -> DataFrame:
+    """rows plus pos (from 0, in ascending order, nulls first) and total, of the table or of each value of `within`.
+
+    Rows are dealt by range of (within, order), so one large value is split; only counts per partition are summed in a
+    window. Rows equal in all order columns get any order among themselves. `within` must not be null.
+    """
+    keys = [within, *order] if within else order
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("_part"), place.alias("_seq"))
+    dealt = stored(dealt, "numbered")
+    group = [within] if within else []
+    sizes = dealt.groupBy(*group, "_part").agg(F.min("_seq").alias("_low"), F.count("*").alias("_n"))
+    over = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(over.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*group, "_part", (before - F.col("_low")).alias("_shift"), F.sum("_n").over(over).alias("total"))
+    return dealt.join(sizes, [*group, "_part"]).select(*rows.columns, (F.col("_seq") + F.col("_shift")).alias("pos"), "total")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of whole texts stay small: at most this many rows."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
