@@ -53,10 +53,10 @@ def test_weights_count_not_only_terms():
 def test_memory_of_terms_changes_nothing():
     made = texts(30)
     small, large = cws.Sampler(64, cached=1), cws.Sampler(64)
-    small.cached = 2 * cws.TERMS
     many = Counter({f"t{i}".encode(): 1 + i % 5 for i in range(3 * cws.TERMS)})
     for weights in [*map(cws.terms, made), many, *map(cws.terms, made[:3])]:
         assert (small.fingerprint(weights) == large.fingerprint(weights)).all()
+    assert small.light.size == 2 * cws.TERMS < len(many)
     assert (large.fingerprint(dict(reversed(list(many.items())))) == large.fingerprint(many)).all()
 
 

@@ -13,13 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacancylake.llm.common import bounded_batches, numbered
 
 SAMPLES = 128  # samples of a fingerprint; each is kept as 16 bits
-CACHED = 20_000  # terms whose random numbers a task remembers
+CACHED = 120_000  # terms whose random numbers a task remembers, 0.5 kB each
 TERMS = 4096  # terms of a text that are sampled at a time
 PART_CHARS = 64_000_000  # characters a range of documents should hold
 PARTS = 50_000  # ranges at most
@@ -28,10 +29,17 @@ ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    """splitmix64's finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * ODD[1]
-    x = (x ^ (x >> np.uint64(27))) * ODD[2]
-    return x ^ (x >> np.uint64(31))
+    """splitmix64's finalizer, in place."""
+    for shift, odd in ((30, ODD[1]), (27, ODD[2])):
+        x ^= x >> np.uint64(shift)
+        x *= odd
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    """32-bit numbers as floats between 0 and 1."""
+    return (x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0 ** -32 - 2.0 ** -56)
 
 
 def terms(text: str) -> Counter:
@@ -39,60 +47,73 @@ def terms(text: str) -> Counter:
     return Counter(text.encode().lower().split())
 
 
+class Remembered:
+    """Rows of numbers for terms; when `size` rows are taken, all are forgotten. What a row holds depends on its term alone."""
+
+    def __init__(self, size: int, *shapes: tuple):
+        self.size, self.rows = size, {}
+        self.tables = [np.empty((size, *shape), kind) for kind, shape in shapes]
+
+    def find(self, words: list[bytes], make) -> np.ndarray:
+        """Row of each word; make(new words) gives the tables' rows of words that are not held, 64 at a time."""
+        rows = self.rows
+        found = [rows.get(w, -1) for w in words]
+        if -1 not in found:
+            return np.array(found, np.int64)
+        new = [w for w, row in zip(words, found) if row < 0]
+        if len(rows) + len(new) > self.size:
+            rows.clear()
+            new, found = words, [-1] * len(words)
+        for at in range(0, len(new), 64):  # few at a time stay in the processor's cache
+            some, low = new[at:at + 64], len(rows)
+            for table, made in zip(self.tables, make(some)):
+                table[low:low + len(some)] = made
+            rows.update(zip(some, range(low, low + len(some))))
+        return np.array([rows[w] if row < 0 else row for w, row in zip(words, found)], np.int64)
+
+
 class Sampler:
     """Fingerprints of weighted terms. Random numbers depend on the term alone and are remembered for a bounded number."""
 
     def __init__(self, samples: int = SAMPLES, cached: int = CACHED):
-        self.samples, self.cached = samples, max(cached, 2 * TERMS)
-        self._forget()
-
-    def _forget(self) -> None:
-        shape = (self.cached, self.samples)
-        self.rows: dict[bytes, int] = {}
-        self.key = np.empty(self.cached, np.uint64)
-        self.r, self.c, self.b, self.once = (np.empty(shape) for _ in range(4))
-
-    def _learn(self, words: list[bytes]) -> None:
-        at = len(self.rows)
-        self.rows.update((w, at + i) for i, w in enumerate(words))
-        key = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
-        k = np.arange(5 * self.samples, dtype=np.uint64) * ODD[0]
-        u = ((_mix(key[:, None] + k[None, :]) >> np.uint64(11)).astype(float) + 0.5) / 2.0 ** 53
-        u = u.reshape(len(words), 5, self.samples)
-        part = slice(at, at + len(words))
-        self.key[part] = key
-        self.r[part] = -np.log(u[:, 0] * u[:, 1])
-        self.c[part] = np.log(-np.log(u[:, 2] * u[:, 3]))
-        self.b[part] = u[:, 4]
-        self.once[part] = self.c[part] - self.r[part] * (1 - u[:, 4])  # score of weight 1, where t is 0
+        cached = max(cached, 2 * TERMS)
+        self.samples, self.row = samples, (np.float32, (samples,))
+        self.steps = np.arange(2 * samples, dtype=np.uint64)[None, :] * ODD[0]
+        self.light = Remembered(cached, (np.uint64, ()), self.row)  # key, score of weight 1
+        self.heavy = Remembered(max(cached // 10, 2 * TERMS), self.row, self.row, self.row)  # r, ln c, b
+
+    def _draw(self, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        drawn = _mix(key[:, None] + self.steps).view(np.uint32).reshape(-1, 4, self.samples)
+        u, spare = _units(drawn), drawn & np.uint32(255)  # a float has no room for the lowest bits: they make b
+        b = _units(spare[:, 0] << np.uint32(24) | spare[:, 1] << np.uint32(16) | spare[:, 2] << np.uint32(8))
+        return -np.log(u[:, 0] * u[:, 1]), np.log(-np.log(u[:, 2] * u[:, 3])), b
+
+    def _first(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        key = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        r, c, b = self._draw(key)
+        return key, c - r * (1 - b)  # t is 0 at weight 1
 
     def fingerprint(self, weights: dict[bytes, float]) -> np.ndarray:
         """One 16-bit code per sample; none at all for an empty set."""
         if not weights:
             return np.zeros(0, np.uint16)
-        words = list(weights)
-        best, code = np.full(self.samples, np.inf), np.zeros(self.samples, np.uint64)
+        words, k = list(weights), np.arange(self.samples)
+        best, code = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.uint64)
         for at in range(0, len(words), TERMS):
             own = words[at:at + TERMS]
-            new = [w for w in own if w not in self.rows]
-            if len(self.rows) + len(new) > self.cached:
-                self._forget()
-                new = own
-            if new:
-                self._learn(new)
-            rows = np.fromiter((self.rows[w] for w in own), np.int64, len(own))
-            log_w = np.log(np.fromiter((weights[w] for w in own), float, len(own)))
-            score = self.once[rows]
-            heavy = np.flatnonzero(log_w)
-            t = np.floor(log_w[heavy, None] / self.r[rows[heavy]] + self.b[rows[heavy]])
-            score[heavy] = self.c[rows[heavy]] - self.r[rows[heavy]] * (t - self.b[rows[heavy]] + 1)
-            least = score.min(axis=0)
-            row, k = np.nonzero(score == least)
-            level = np.zeros(len(own), np.int64)
-            level[heavy] = np.arange(len(heavy))
-            step = np.where(log_w[row] != 0, t[level[row], k] if len(heavy) else 0.0, 0.0).astype(np.int64).astype(np.uint64)
-            found = np.zeros(self.samples, np.uint64)
-            found[k] = _mix(self.key[rows[row]] + step * ODD[0])
+            rows = self.light.find(own, self._first)
+            key, score = self.light.tables[0][rows], self.light.tables[1][rows]
+            weight = np.fromiter(map(weights.__getitem__, own), np.float32, len(own))
+            heavy = np.flatnonzero(weight != 1)
+            some = self.heavy.find([own[i] for i in heavy], lambda new: self._draw(np.array([xxhash.xxh64_intdigest(w) for w in new], np.uint64)))
+            r, c, b = (table[some] for table in self.heavy.tables)
+            t = np.floor(np.log(weight[heavy])[:, None] / r + b)
+            score[heavy] = c - r * (t - b + 1)
+            row = score.argmin(axis=0)
+            least, step = score[row, k], np.zeros(self.samples, np.int64)
+            weighty = weight[row] != 1
+            step[weighty] = t[np.searchsorted(heavy, row[weighty]), k[weighty]]
+            found = _mix(key[row] + step.astype(np.uint64) * ODD[0])
             code = np.where(least < best, found, code)
             best = np.minimum(least, best)
         return (code >> np.uint64(48)).astype(np.uint16)
