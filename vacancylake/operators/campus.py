@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T, urls as U
 from ..functions.base import any_of, at, col, hours_between, js_round, shanghai_date, text, ts
-from . import core as C, coverage as CV
+from . import core as C, coverage as CV, insights as IN
 
 # fixed values
 SEASON_MONTHS = [8, 9, 10, 11, 2, 3, 4]
@@ -135,6 +135,22 @@ def usable_cycles(obs: DataFrame, now) -> DataFrame:
     return r.where((F.col("_has") == 0) | (F.col("season") == prefer)).drop("_has")
 
 
+CYCLE_FIELDS = ["grad_class", "season", "batch", "event", "time_expr_type", "value_text", "month_start", "month_end", "confidence", "evidence_url", "evidence_excerpt", "valid_until"]
+
+
+def cycles_for(dim: DataFrame, cycles: DataFrame, profiles: DataFrame, today) -> DataFrame:
+    """Rows of the verified, unexpired cycles of each list company: (pattern, cycle id, CYCLE_FIELDS).
+
+    A cycle belongs to a list company if its profile (name or an alias) matches the company's name. Names are matched once
+    per distinct name; entries that share a pattern share their cycles. Open-ended cycles never expire.
+    """
+    live = cycles.where((F.col("verify_status") == "verified") & (F.col("valid_until").isNull() | (F.col("valid_until") >= F.to_date(at(today)))))
+    wide = live.select("id", "company_id", *[F.col(c) if c in cycles.columns else F.lit(None).cast("string").alias(c) for c in CYCLE_FIELDS])
+    found = IN.matching_profiles(dim.select(F.col("name").alias("company")), profiles)
+    own = dim.select("pattern", F.col("name").alias("company")).join(found, "company").select("pattern", F.col("profile_id").alias("company_id")).distinct()
+    return own.join(wide, "company_id").drop("company_id")
+
+
 def batch_rank() -> Column:
     return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(b) for b in BATCHES]), F.col("batch")), F.lit(0)), F.lit(9))
 

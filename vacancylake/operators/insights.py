@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import company as CO, fixed as V, text as T
+from ..functions import career as CR, company as CO, fixed as V, text as T
 from ..functions.base import any_of, at, col, hours_between, js_round, text, ts
 from . import core as C
 
@@ -116,11 +116,78 @@ def age_label(verified_at, now) -> Column:
     return F.when(days <= 90, "fresh").when(days <= 270, "recent").when(days <= 540, "aging").when(days.isNotNull(), "stale")
 
 
+def profile_keys(profiles: DataFrame) -> DataFrame:
+    """(pos, profile_id, key): the folded names a profile answers to."""
+    alias = profiles.select("pos", "profile_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_a"))
+    return alias.select("pos", "profile_id", CO.match_key("_a").alias("key")).where("key <> ''").distinct()
+
+
+def matching_profiles(names: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(company, profile_id): every profile that a company text matches, by equal keys or an eligible substring either way."""
+    n = names.select("company").distinct().withColumn("q", CO.match_key("company")).where("q <> ''")
+    a = profile_keys(profiles)
+    equal = n.join(a, n["q"] == a["key"]).select("company", "profile_id")
+    inside = C.contains_join(n, "q", a.where(CO.long_enough("key")), "key").select("company", "profile_id")
+    around = C.contains_join(a, "key", n.where(CO.long_enough("q")), "q").select("company", "profile_id")
+    return equal.union(inside).union(around).distinct()
+
+
+CAREER_NOTE_CHARS = 48
+
+
+def career_note(title, content) -> Column:
+    """Title of an item, or its content cut to CAREER_NOTE_CHARS."""
+    c = F.trim(text(content))
+    cut = F.when(F.length(c) > CAREER_NOTE_CHARS, F.concat(F.substring(c, 1, CAREER_NOTE_CHARS), F.lit("…"))).otherwise(F.nullif(c, F.lit("")))
+    return F.coalesce(F.nullif(F.trim(text(title)), F.lit("")), cut)
+
+
+def company_timing(items: DataFrame, now) -> DataFrame:
+    """Per company: status, label and detail of its timing items, and the first pay and caution notes.
+
+    items: (company, dimension, pos, time_window, title, content). Each row is judged where it lies; only the best state and
+    the first notes meet, so no list of a company's items is built.
+    """
+    month = F.month(at(now))
+    state = CR.window_status("time_window", month)
+    timed = F.when(F.col("dimension") == "timing", F.struct(CR.status_rank("_state").alias("r"), (-F.col("pos")).alias("p"), F.col("_state").alias("s"), F.col("time_window").alias("w")))
+    first = lambda d: F.min(F.when(F.col("dimension") == d, F.struct("pos", career_note("title", "content").alias("note"))))["note"]
+    g = items.withColumn("_state", state).groupBy("company").agg(F.max(timed).alias("_t"), first("compensation_intensity").alias("comp_note"), first("culture").alias("caution_note"))
+    return g.select("company", F.col("_t.s").alias("status"), F.col("_t.w").alias("detail"), "comp_note", "caution_note")
+
+
+def career_path(wanted: DataFrame, items: DataFrame, now) -> DataFrame:
+    """Recommended companies per user: timing first, then open postings, then the given order (column rank, from 1).
+
+    wanted: (user_id, pos, company, display_name, job_count). Companies without items have an unknown timing and no notes.
+    """
+    rows = wanted.join(company_timing(items, now), "company", "left").withColumn("status", F.coalesce("status", F.lit("unknown"))).withColumn("job_count", F.coalesce("job_count", F.lit(0)))
+    jobs = F.when(F.col("job_count") > 0, F.concat(F.col("job_count").cast("string"), F.lit(" 个在招岗位")))
+    reasons = F.array_compact(F.array(CR.status_label("status"), jobs, F.when(F.col("caution_note").isNotNull(), F.lit("有温馨提示"))))
+    rows = rows.withColumn("label", CR.status_label("status")).withColumn("reasons", reasons)
+    return C.numbered(rows, ["user_id"], [CR.status_weight("status").desc(), F.col("job_count").desc(), F.col("pos")], "rank")
+
+
+def career_notes(wanted: DataFrame, items: DataFrame) -> DataFrame:
+    """Path and culture items of a user's companies: (user_id, kind, pos, item_pos, company, title, content)."""
+    kind = F.when(F.col("dimension") == "path", "path_note").when(F.col("dimension") == "culture", "caution")
+    i = items.select("company", kind.alias("kind"), F.col("pos").alias("item_pos"), "title", "content").where("kind is not null")
+    return wanted.join(i, "company").select("user_id", "kind", "pos", "item_pos", F.coalesce("display_name", "company").alias("company"), "title", "content")
+
+
+def career_header(profiles: DataFrame, path: DataFrame) -> DataFrame:
+    """Per profile (user_id, target_roles, seniority, target_locations): whether it says anything, and why a report is empty."""
+    some = lambda c: F.size(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")) > 0
+    n = path.groupBy("user_id").agg(F.count("*").alias("recommendations"))
+    rows = profiles.withColumn("has_profile", some("target_roles") | some("target_locations") | (text("seniority") != "")).join(n, "user_id", "left")
+    empty = F.when(F.col("has_profile"), "insight_unverified").otherwise("no_profile")
+    return rows.select("user_id", "has_profile", F.coalesce("recommendations", F.lit(0)).alias("recommendations"), F.when(F.coalesce("recommendations", F.lit(0)) == 0, empty).alias("failure_reason"))
+
+
 def match_profile(names: DataFrame, profiles: DataFrame) -> DataFrame:
     """Best profile of each company text: equal keys first, else an eligible substring, lowest profile position."""
     n = names.select("company").distinct().withColumn("q", CO.match_key("company")).where("q <> ''")
-    alias = profiles.select("pos", "profile_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_a"))
-    a = alias.select("pos", "profile_id", CO.match_key("_a").alias("key")).where("key <> ''").distinct()
+    a = profile_keys(profiles)
     equal = n.join(a, n["q"] == a["key"]).select("company", "pos", "profile_id", F.lit(0).alias("how"))
     inside = C.contains_join(n, "q", a.where(CO.long_enough("key")), "key").select("company", "pos", "profile_id", F.lit(1).alias("how"))
     around = C.contains_join(a, "key", n.where(CO.long_enough("q")), "q").select("company", "pos", "profile_id", F.lit(1).alias("how"))

@@ -142,3 +142,50 @@ select o_orderkey as id, o_custkey % 50 as company_id, case o_orderkey % 2 when
   cast(o_orderdate as date) as date_start, case o_orderstatus when 'F' then 'verified' when 'O' then 'draft' else 'rejected' end as verify_status,
   cast(o_orderdate + interval '365' day as date) as valid_until
 from {orders}"""
+
+# links of all kinds of sources, with the page behind them
+ROLE_SQL["r_links"] = """
+select page_id, html, page_id % 5 as page_kind, case page_id % 24
+  when 0 then concat('https://boards.greenhouse.io/acme', cast(page_id % 7 as string), '/jobs/', cast(page_id as string))
+  when 1 then regexp_replace(url, '^https?://[^/]+', 'https://jobs.lever.co') when 2 then regexp_replace(url, '^https?://[^/]+', 'https://careers.tencent.com')
+  when 3 then concat('https://app.mokahr.com/campus_apply/tenant', cast(page_id % 5 as string), '/', cast(page_id as string), '#/jobs')
+  when 4 then concat('https://www.linkedin.com/jobs/view/', cast(page_id as string)) when 5 then concat('https://zhuanlan.zhihu.com/p/', cast(page_id as string))
+  when 6 then concat('https://career.tsinghua.edu.cn/jobfair/jobs/', cast(page_id as string)) when 7 then concat('https://www.school.edu.cn/%E5%B0%B1%E4%B8%9A/', cast(page_id as string))
+  when 8 then concat('https://acme', cast(page_id % 3 as string), '.wd1.myworkdayjobs.com/en-US/ext') when 9 then concat('https://jobs.ashbyhq.com/acme', cast(page_id % 3 as string))
+  when 10 then concat('https://careers.smartrecruiters.com/Acme', cast(page_id % 3 as string)) when 11 then regexp_replace(url, '^https?://[^/]+/[a-z]+/', 'https://careers.example.com/students/role-')
+  when 12 then concat('https://xiaomi.jobs.feishu.cn/campus/position/', cast(page_id as string), '/detail') when 13 then concat('https://acme.feishu.cn/docs/', cast(page_id as string))
+  when 14 then concat('https://jobs.acme.com.cn:8443/position/detail?id=', cast(page_id as string)) when 15 then concat('  https://user@hr.example.cn/', cast(page_id as string), '/招聘  ')
+  when 16 then 'http://hr.163.com/' when 17 then concat('no link ', cast(page_id as string)) when 18 then concat('https://acme.zhiye.com/social/', cast(page_id as string))
+  when 19 then concat('https://talent.baidu.com/jobs/detail/SOCIAL/', cast(page_id as string)) when 20 then concat('https://www.example.com/blog/', cast(page_id as string))
+  when 21 then concat('https://acme.greenhouse.io/?for=board', cast(page_id % 4 as string)) when 22 then concat('https://example.com/careers/list?page=2&amp;x=', cast(page_id as string))
+  else url end as url
+from {pages}"""
+
+# documents read as resumes: a headline and a skill line before the text, a school or project line after it
+ROLE_SQL["r_resumes"] = """
+select doc_id, concat(case doc_id % 6 when 0 then '求职意向：数据分析实习生' when 1 then '  产品经理   校招 ' when 2 then '  ' when 3 then 'Business Analyst intern in 上海'
+    when 4 then '期望岗位: 算法  NLP' else '张三' end, chr(13), case doc_id % 5 when 0 then '技能：Python、SQL、Power BI' when 1 then '熟练掌握 Tableau 与 Excel' when 2 then ''
+    when 3 then '深圳 北京 电商平台 用户增长' else '大模型 RAG Prompt' end, chr(10), case when doc_id % 9 = 0 then '' else coalesce(text, '') end, chr(10),
+  case doc_id % 7 when 0 then '教育：某大学 本科' when 1 then '负责项目 A/B 实验' when 2 then concat('某公司', chr(9), '工作经历') else '' end) as text
+from {documents}"""
+
+# results of search queries: thirteen to a query, two queries to a provider, two providers to a run
+ROLE_SQL["r_results"] = """
+select page_id, cast(floor(page_id / 52.0) as bigint) as run_id, case when cast(floor(page_id / 26.0) as bigint) % 2 = 0 then 'baidu' else 'bing' end as provider,
+  cast(floor(page_id / 13.0) as bigint) as q, page_id % 13 as n, case when page_id % 29 = 0 then '' else url end as url,
+  concat('T', cast(page_id as string)) as title, case when page_id % 3 = 0 then '' else concat('s', cast(page_id as string)) end as snippet
+from {r_links}"""
+
+ROLE_SQL["r_diags"] = """
+select run_id, provider, q as pos, concat('q', cast(q as string)) as query, case q % 5 when 0 then 'provider_failed' when 1 then 'no_results' else 'success' end as status,
+  cast(case q % 7 when 0 then 429 when 1 then null when 2 then 0 else 200 end as int) as http_status, count(*) as raw_results_count, case when q % 5 = 0 then 0 else count(*) - 1 end as extracted_urls_count,
+  case q % 4 when 0 then 'timeout' when 1 then concat('limit 429 x', cast(q % 2 as string)) when 2 then '' else null end as error, q % 11 = 0 as rate_limited
+from {r_results} group by run_id, provider, q"""
+
+# items of companies by dimension, and the companies a user looks at
+ROLE_SQL["r_items"] = """
+select company_id, case id % 5 when 0 then 'timing' when 1 then 'timing' when 2 then 'compensation_intensity' when 3 then 'culture' else 'path' end as dimension, id as pos,
+  case id % 6 when 0 then concat(cast(month_start as string), '–', cast(month_end as string), ' 月') when 1 then concat('HC 偏紧 ', cast(month_start as string), '月') when 2 then '全年滚动'
+    when 3 then concat(cast(month_end as string), '到', cast(month_start as string), '月、1 月') when 4 then '不定' else null end as time_window,
+  case when id % 4 = 0 then '  ' when id % 4 = 1 then null else concat('note ', cast(id % 9 as string)) end as title, concat(batch, season, publisher, batch, season, publisher, event) as content
+from {r_claims}"""
