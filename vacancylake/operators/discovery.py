@@ -169,7 +169,7 @@ def clean_targets(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     Rows without a name or a usable slug (no blanks) go, and those that a stored company covers. Of rows with one name, or one
     folded name, the first that is left stays; a row between two others may link them only if it stays itself.
     """
-    slugs = F.filter(F.transform(F.coalesce("slugs", F.array().cast("array<string>")), F.trim), lambda s: (s != "") & ~s.contains(" "))
+    slugs = F.filter(F.transform(F.coalesce("slugs", F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: (s != "") & ~s.contains(" "))
     rows = proposed.select("batch", "pos", F.trim(text("company")).alias("company"), F.trim(F.coalesce(F.nullif(F.col("cn"), F.lit("")), F.trim(text("company")))).alias("cn"), slugs.alias("slugs"), F.trim(text("industry")).alias("industry"))
     rows = rows.where((F.col("company") != "") & (F.size("slugs") > 0)).withColumn("_key", CO.target_key("company"))
     covered = CV.company_covered(rows.select("company"), existing).where("covered").select("company")

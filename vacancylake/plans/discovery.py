@@ -205,3 +205,141 @@ LIST_PROFILES = "select cast(s_suppkey as int) as pos, s_suppkey % 50 as profile
 def _(t):
     profiles = t.sql(LIST_PROFILES).select("pos", "profile_id", "name", F.array("alias").alias("aliases"))
     return CA.cycles_for(t.list, t.claims, profiles, "1998-08-02 00:00:00").select("pattern", "id", "season", "batch", "event", "month_start", "month_end", "valid_until")
+
+
+def diagnostics(t):
+    """Query diagnostics with their results, from links dealt to queries."""
+    results = t.results.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "url", "title", "snippet"))), lambda r: F.struct(r["url"].alias("url"), r["title"].alias("title"), r["snippet"].alias("snippet"))).alias("results"))
+    return t.diags.join(results.withColumnRenamed("q", "pos"), "pos")
+
+
+def search_runs(t):
+    """Runs with their providers as JSON; the first query of a provider stands in its own row where it is the only one."""
+    d = diagnostics(t)
+    one = F.struct(F.col("pos"), F.struct("query", F.lit("").alias("provider_name"), "results").alias("d"))
+    p = d.groupBy("run_id", "provider").agg(F.array_sort(F.collect_list(one)).alias("qs"))
+    told = F.when(F.size("qs") > 1, F.struct(F.transform("qs", lambda q: q["d"]).alias("queries")))
+    p = p.select("run_id", F.struct(F.col("provider").alias("name"), F.get("qs", F.lit(0))["d"]["query"].alias("query"), told.alias("diagnostics"), F.when(F.size("qs") == 1, F.get("qs", F.lit(0))["d"]["results"]).alias("results")).alias("p"))
+    return p.groupBy("run_id").agg(F.to_json(F.array_sort(F.collect_list("p"), lambda a, b: F.when(a["name"] < b["name"], -1).when(a["name"] > b["name"], 1).otherwise(0))).alias("providers"))
+
+
+AUDIT = f"""{PARTS.replace('from r_links', "from (select r.page_id, r.url, '' as html, 0 as page_kind from r_results r)", 1)}, f as (select *, {LINK_FIELDS} from c),
+  a as (select r.run_id, r.provider, r.q, r.n, r.page_id, r.title, r.url, r.snippet, f.* exclude (page_id) from (select *, row_number() over (partition by q order by n) rn from r_results) r join f on f.page_id = r.page_id where rn <= 10)"""
+
+
+@query("results_audit", f"with {AUDIT} select run_id, provider as provider_name, 'q' || q as query, title, url, snippet, source_type as classification, platform as detected_platform, reject_reason, signal as official_signal, confidence from a")
+def _(t):
+    a = D.results_audit(search_runs(t))
+    return a.select("run_id", "provider_name", "query", "title", "url", "snippet", F.col("found.source_type").alias("classification"), F.col("found.platform").alias("detected_platform"), "found.reject_reason", F.col("found.signal").alias("official_signal"), "found.confidence")
+
+
+@query("candidate_rows", f"""with {AUDIT} select run_id, 'q' || q as query, coalesce(company, 'none') as company, title, url, source_type, stored_platform as detected_platform, confidence, 'pending' as status,
+  json_extract_string(j, '$.company_guess') as guess, cast(j as varchar) as reason from (select *, to_json({{'provider_name': provider, 'provider_query': 'q' || q, 'title': title, 'snippet': nullif(snippet, ''), 'query': 'q' || q, 'url': url, 'company_guess': coalesce(company, 'none'),
+    'source_type': source_type, 'detected_platform': platform, 'db_detected_platform': stored_platform, 'confidence': confidence, 'status': 'pending', 'reason': reason, 'matched_keywords': case when cls = 'invalid' then [] else words end, 'official_signal': signal, 'reject_reason': reject_reason,
+    'parser_supported': parser is not null, 'parser_name': parser}}) as j from a where not rejected)""")
+def _(t):
+    a = D.results_audit(search_runs(t)).where("not found.rejected")
+    return D.candidate_rows(a, "pending", "none").withColumn("guess", F.get_json_object("reason", "$.company_guess"))
+
+
+@query("candidate_status", """select page_id, case page_id % 4 when 0 then '{"a":1,"b":["x",null],"status":"parsed","status_update":"ok ' || page_id || '","status_updated_at":"2024-01-31"}'
+    when 1 then '{"previous_reason":"plain \\"words\\" ' || page_id || '","status":"parsed","status_update":"ok ' || page_id || '","status_updated_at":"2024-01-31"}'
+    when 2 then '{"previous_reason":"[1, 2]","status":"parsed","status_update":"ok ' || page_id || '","status_updated_at":"2024-01-31"}' else '{"status":"parsed","status_update":"ok ' || page_id || '","status_updated_at":"2024-01-31"}' end as reason from pages""")
+def _(t):
+    old = F.expr("""case page_id % 4 when 0 then '{"a": 1, "status": "pending", "b": ["x", null]}' when 1 then concat('plain "words" ', page_id) when 2 then '[1, 2]' end""")
+    return t.pages.select("page_id", D.merged_reason(old, "parsed", F.concat(F.lit("ok "), F.col("page_id")), "2024-01-31").alias("reason"))
+
+
+LIMITED = "(rate_limited or coalesce(http_status = 429, false) or regexp_matches(coalesce(error, ''), '(?i)429|rate\\s*limit|too many requests'))"
+
+
+@query("provider_summary", f"""with g as (select run_id, provider, sum(raw_results_count)::bigint as raw_results, sum(extracted_urls_count)::bigint as extracted_urls, count(*) filter (status = 'provider_failed') as failed, bool_or({LIMITED}) as rate_limited,
+    arg_min(struct_pack(c := http_status), pos) filter ({LIMITED}) as l, arg_min(http_status, pos) filter (http_status is not null) as h, string_agg(query, ' | ' order by pos) as query from r_diags group by run_id, provider),
+  e as (select run_id, provider, string_agg(error, chr(10) order by p) as error from (select run_id, provider, error, min(pos) as p from r_diags where error <> '' group by all) group by run_id, provider),
+  u as (select run_id, provider, count(distinct url) as links from r_results where url <> '' group by run_id, provider)
+  select g.run_id, g.provider, query, case when extracted_urls > 0 then case when failed > 0 then 'partial_success' else 'success' end when failed > 0 then 'provider_failed' else 'no_results_found' end as status,
+    coalesce(nullif(l.c, 0), nullif(h, 0)) as http_status, raw_results, extracted_urls, error, rate_limited, coalesce(links, 0) as links from g left join e using (run_id, provider) left join u using (run_id, provider)""")
+def _(t):
+    return D.provider_summary(diagnostics(t))
+
+
+@query("provider_links", "select run_id, provider, url, title, snippet, 'q' || q as query from (select *, row_number() over (partition by run_id, provider, url order by q, n) rn from r_results where url <> '') where rn = 1")
+def _(t):
+    return D.provider_links(diagnostics(t))
+
+
+STATUS_RUNS = """select id, case when id % 9 = 0 then ' ' when id % 9 = 1 then 'queued' when id % 9 = 2 then 'running' else status end as status, jobs_created, jobs_updated, case when id % 4 = 0 then null else jobs_found end as candidates_found,
+  case when id % 6 = 0 then 'no_results' else '' end as failure_reason, error_message, started_at, created_at, finished_at,
+  case id % 5 when 0 then concat('{{"produced_jd_urls":["https://a/', cast(id as string), '",7,"",null,{{"u":1}},"https://b"]}}') when 1 then '{{"produced_jd_urls":"x"}}' when 2 then 'broken {{' when 3 then null else '{{"other":[1]}}' end as diagnostics from {r_runs}"""
+
+
+@query("run_status", """with r as (""" + STATUS_RUNS.replace("{r_runs}", "r_runs").replace("{{", "{").replace("}}", "}") + """), s as (select *, coalesce(nullif(trim(status), ''), 'unknown') as st from r)
+  select id, st as status, case st when 'queued' then 'queued' when 'running' then 'running' when 'success' then 'done' when 'partial_success' then 'done' when 'failed' then 'failed' when 'skipped' then 'failed' else 'unknown' end as phase, st in ('success', 'partial_success', 'failed', 'skipped') as is_terminal,
+    jobs_created, jobs_updated, coalesce(candidates_found, 0) as candidates_found, nullif(failure_reason, '') as failure_reason, nullif(trim(error_message), '') as error_message, cast(coalesce(started_at, created_at) as timestamp) as started_at, cast(finished_at as timestamp) as finished_at,
+    case id % 5 when 0 then 'https://a/' || id || ',https://b' else '' end as produced_urls from s""")
+def _(t):
+    return D.run_status(t.sql(STATUS_RUNS)).withColumn("produced_urls", F.array_join("produced_urls", ","))
+
+
+OUTCOME_RUNS = """select id, id % 7 as total_urls, case when id % 7 = 0 then 0 else id % 5 end as candidates_found, id % 3 as candidates_parsed, case when id % 2 = 0 then id % 5 else 0 end as candidates_pending, case when id % 11 = 0 then 1 else 0 end as candidates_failed,
+  case id % 4 when 0 then 0 when 1 then null else 2 end as parser_supported, case when id % 13 = 0 then 2 else 0 end as gate_failures, case when id % 6 = 0 then 1 else 0 end as jobs_created, case when id % 10 = 0 then 3 else 0 end as jobs_updated from {r_runs}"""
+OUTCOME_PROVIDERS = "select id as run_id, case when id % 3 = 0 then 'provider_failed' else 'success' end as status, cast(case when id % 17 = 0 then 429 else 200 end as int) as http_status, case id % 19 when 0 then 'Search disabled' when 1 then 'Too Many Requests' else null end as error, id % 23 = 0 as rate_limited, id % 29 = 0 as disabled from {r_runs} where id % 5 <> 4"
+ERRORS_OF = "case id % 8 when 0 then 'first' || chr(10) || 'second' when 1 then 'only' end"
+
+
+@query("discovery_outcome", f"""with r as ({OUTCOME_RUNS.replace('{r_runs}', 'r_runs')}), p as ({OUTCOME_PROVIDERS.replace('{r_runs}', 'r_runs')}),
+  g as (select run_id, bool_or(status = 'provider_failed') as f, bool_or(rate_limited or http_status = 429 or regexp_matches(coalesce(error, ''), '(?i)429|too many requests')) as l, bool_or(disabled or regexp_matches(coalesce(error, ''), '(?i)disabled')) as d from p group by run_id),
+  x as (select r.*, coalesce(f, false) as f, coalesce(l, false) as l, coalesce(d, false) as d, {ERRORS_OF} as e, candidates_failed > 0 or gate_failures > 0 as bad, jobs_created > 0 or jobs_updated > 0 as w from r left join g on g.run_id = r.id),
+  k as (select *, case when w then 'written' when l then 'provider_rate_limited' when d then 'provider_disabled' when f and total_urls = 0 then 'provider_failed' when total_urls = 0 then 'provider_no_results' when candidates_found = 0 then 'all_results_rejected' when bad then 'gate'
+     when candidates_pending = candidates_found and parser_supported = 0 then 'parser_missing' when candidates_pending = candidates_found then 'candidates_pending' when candidates_parsed = 0 then 'no_detail' else 'rest' end as k from x)
+  select id, case k when 'written' then case when f or bad then 'partial_success' else 'success' end when 'rest' then case when f then 'partial_success' else 'success' end when 'gate' then 'partial_success' when 'parser_missing' then 'partial_success' when 'candidates_pending' then 'partial_success' when 'no_detail' then 'partial_success' else 'failed' end as status,
+    case k when 'written' then case when bad then 'quality_gate_failed' when l then 'provider_rate_limited' when f then 'provider_failed' end when 'rest' then case when f then 'provider_failed' end when 'gate' then 'quality_gate_failed' when 'no_detail' then 'quality_gate_failed' else k end as failure_reason,
+    case when k in ('written', 'rest') then e when k in ('provider_no_results', 'all_results_rejected', 'parser_missing', 'candidates_pending') then {"case k " + " ".join(f"when {S.q(k)} then {S.q(v)}" for k, v in D.MESSAGES.items()) + " end"}
+      else coalesce(e, {"case k " + " ".join(f"when {S.q(k)} then {S.q(v)}" for k, v in D.MESSAGES.items()) + " end"}) end as error_message from k""")
+def _(t):
+    errors = F.expr("case id % 8 when 0 then array('first', '', null, 'second') when 1 then array('only') end")
+    return D.discovery_outcome(t.sql(OUTCOME_RUNS).withColumn("errors", errors), t.sql(OUTCOME_PROVIDERS))
+
+
+@query("cached_outcome", """with c as (select id % 500 as id, count(*) as n, count(*) filter (id % 3 = 0) as parsed, count(*) filter (id % 3 = 1) as pending, count(*) filter (id % 3 = 2 and id % 4 <> 0) as failed from r_runs where id % 500 % 3 <> 0 group by 1),
+  j as (select id % 700 as id, count(*) as n from r_runs where id % 700 % 2 = 0 group by 1)
+  select r.id, case when coalesce(j.n, 0) > 0 then 'success' else status end as status, coalesce(c.n, 0) as candidates_found, coalesce(parsed, 0) as candidates_parsed, coalesce(pending, 0) as candidates_pending, coalesce(failed, 0) as candidates_failed, coalesce(j.n, 0) as jobs_reused,
+    case when coalesce(j.n, 0) > 0 then null when coalesce(c.n, 0) > 0 then case when failed > 0 and pending = 0 then 'quality_gate_failed' else 'candidates_pending' end else 'provider_no_results' end as failure_reason, case when coalesce(j.n, 0) = 0 then error_message end as error_message
+  from r_runs r left join c on c.id = r.id left join j on j.id = r.id""")
+def _(t):
+    c = t.runs.where("id % 500 % 3 <> 0").select((F.col("id") % 500).alias("run_id"), F.expr("case when id % 3 = 0 then 'parsed' when id % 3 = 1 then 'pending' when id % 4 <> 0 then 'failed' else 'other' end").alias("status"))
+    return D.cached_outcome(t.runs, c, t.runs.where("id % 700 % 2 = 0").select((F.col("id") % 700).alias("run_id")))
+
+
+PROPOSED = """select c_custkey % 7 as batch, c_custkey as pos, case c_custkey % 6 when 0 then concat(' Brand', cast(c_custkey % 60 as string), ' ') when 1 then concat('brand', cast(c_custkey % 40 as string), ' （中国）') when 2 then '' when 3 then concat('Newco', cast(c_custkey % 90 as string))
+  when 4 then concat('newco', cast(c_custkey % 90 as string), '有限公司') else c_name end as company, case c_custkey % 3 when 0 then '' else concat('名', cast(c_custkey % 9 as string)) end as cn, c_custkey % 5 as slug_kind, c_mktsegment as industry from {customer}"""
+FOLDED = lambda c: f"regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[（(][^（）()]*[）)]', '', 'g'), '\\s+', '', 'g'), '(.)(?:{'|'.join(V.TARGET_SUFFIXES)})+$', '\\1')"
+ATTRIBUTED = lambda n, w: f"(contains({n}, {w}) and (starts_with({n}, {w}) or regexp_matches(substr({n}, 1, instr({n}, {w}) - 1), {S.q('^(?:' + '|'.join(V.PLACE_PREFIXES) + ')?(?:' + '|'.join(V.PLACE_PREFIX_SUFFIXES) + ')?$')})))"
+
+
+@query("clean_targets", f"""with r as ({PROPOSED.replace('{customer}', 'customer')}), s as (select *, trim(company) as name, {FOLDED('company')} as k from r where trim(company) <> '' and slug_kind not in (0, 1)),
+  x as (select distinct s_name as e, {FOLDED('s_name')} as ek from supplier union select 'Brand3', 'brand3' union select '北京newco7', '北京newco7'),
+  c as (select distinct s.name from (select distinct name, k from s) s join x on s.name = e or (k <> '' and k = ek) or {ATTRIBUTED('e', 's.name')} or (k <> '' and {ATTRIBUTED('ek', 'k')})),
+  f as (select *, row_number() over (partition by batch, case when k <> '' then 'k:' || k else 'n:' || name end order by pos) rn from s where name not in (select name from c))
+  select batch, pos, name as company, trim(coalesce(nullif(cn, ''), name)) as cn, case slug_kind when 2 then 'a' || pos else 's1,s2,s3,s4' end as slugs, industry from f where rn = 1""")
+def _(t):
+    slugs = F.expr("case slug_kind when 0 then array('two words', ' ') when 1 then null when 2 then array(concat(' a', pos, ' ')) else array('s1', 's2', 'x y', 's3', 's4', 's5') end")
+    known = t.supplier.select(F.col("s_name").alias("company")).union(t.spark.createDataFrame([("Brand3",), ("北京newco7",)], "company string"))
+    return D.clean_targets(t.sql(PROPOSED).withColumn("slugs", slugs), known).withColumn("slugs", F.array_join("slugs", ","))
+
+
+# fixed values: public addresses of boards by platform
+BOARD_TEMPLATES = [("greenhouse", "https://boards-api.greenhouse.io/v1/boards/{slug}/jobs?content=true"), ("lever", "https://api.lever.co/v0/postings/{slug}?mode=json"),
+                   ("ashby", "https://api.ashbyhq.com/posting-api/job-board/{slug}?includeCompensation=true"), ("smartrecruiters", "https://api.smartrecruiters.com/v1/companies/{slug}/postings?limit=100")]
+
+
+@query("expand_candidates", f"""with p as (select distinct on (name) name, pattern from r_list order by name, pos), t as (select c_custkey as pos, case when c_custkey % 3 = 0 then 'Brand' || (c_custkey % 200) else c_name end as company, c_custkey % 50 as s, c_mktsegment as industry from customer),
+  k as (select t.*, lower(trim(replace(coalesce(pattern, company), '%', ''))) as token from t left join p on p.name = t.company), left_ as (select * from k where not exists (select 1 from supplier where s_suppkey % 2 = 0 and contains(lower(s_name), token))),
+  w as (select pos, company, industry, unnest([1, 2, 3]) as ap, unnest(['lever', 'nowhere', 'greenhouse']) as adapter, s from left_), v as (select *, unnest([1, 2]) as sp, unnest(['c' || s, 'd' || s]) as slug from w),
+  u as (select v.*, replace(template, '{{slug}}', slug) as url from v join (values {", ".join(f"({S.q(a)}, {S.q(x.replace('{', '{{').replace('}', '}}'))})" for a, x in BOARD_TEMPLATES)}) as m(adapter, template) on m.adapter = v.adapter)
+  select url, company, adapter, industry, 'foreign' as segment from (select *, row_number() over (partition by url order by pos, ap, sp) rn from u) where rn = 1""".replace("{{", "{").replace("}}", "}"))
+def _(t):
+    targets = t.customer.select(F.col("c_custkey").alias("pos"), F.expr("case when c_custkey % 3 = 0 then concat('Brand', c_custkey % 200) else c_name end").alias("company"), F.expr("array(concat('c', c_custkey % 50), concat('d', c_custkey % 50))").alias("slugs"),
+                                F.array(F.lit("lever"), F.lit("nowhere"), F.lit("greenhouse")).alias("ats"), F.col("c_mktsegment").alias("industry"))
+    templates = t.spark.createDataFrame(BOARD_TEMPLATES, "adapter string, template string")
+    return D.expand_candidates(targets, templates, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("company")), t.list)
