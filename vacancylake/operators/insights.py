@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import career as CR, company as CO, fixed as V, text as T
+from ..functions import career as CR, company as CO, facts as FA, fixed as V, text as T
 from ..functions.base import any_of, at, col, hours_between, js_round, text, ts
 from . import core as C
 
@@ -233,3 +233,37 @@ def annual_financials(facts: DataFrame) -> DataFrame:
     y = facts.withColumn("prev", F.lag("value").over(w))
     last = C.latest_per_key(y, ["company", "metric"], [F.col("fiscal_end").desc()])
     return last.withColumn("yoy_pct", F.when(F.col("prev") != 0, F.bround((F.col("value") - F.col("prev")) / F.abs("prev") * 100, 1)))
+
+
+def company_facts(entities: DataFrame, labels: DataFrame) -> DataFrame:
+    """Facts of entity JSON with references resolved: entities (company_id, entity), labels (qid, label, one row a qid).
+
+    References are looked up by one join over (company, kind, place, qid) rows; the JSON itself does not travel. Rows that are
+    no entity keep null facts. company_id must be unique.
+    """
+    parsed = entities.select("company_id", FA.entity_facts("entity").alias("f"))
+    refs = parsed.select("company_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"f.{c}").alias("ids")) for k, c in (("exchange", "exchange_ids"), ("hq", "hq_ids"), ("industry", "industry_ids"))])).alias("r"))
+    refs = refs.select("company_id", "r.kind", F.posexplode("r.ids").alias("at", "qid")).join(labels.where(text("label") != ""), "qid", "left")
+    named = refs.withColumn("name", F.when(F.col("kind") == "exchange", F.coalesce(FA.known_exchange("qid"), "label")).otherwise(F.col("label"))).where("name is not null")
+    first = lambda k: F.min(F.when(F.col("kind") == k, F.struct("at", "name")))["name"].alias(k)
+    exchanges = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "exchange", F.struct("at", "name")))), lambda x: x["name"])).alias("exchanges")
+    g = named.groupBy("company_id").agg(exchanges, first("hq"), first("industry"))
+    kept = ["qid", "label", "entity_url", "listed", "ticker", "official_site", "founded_year", "employees"]
+    rows = parsed.select("company_id", *[f"f.{c}" for c in kept]).join(g, "company_id", "left")
+    return rows.withColumn("exchanges", F.coalesce("exchanges", F.array().cast("array<string>"))).withColumn("headcount_band", headcount_band("employees"))
+
+
+def listing_rows(facts: DataFrame) -> DataFrame:
+    """Listing claims and profile columns of company facts: (company_id, listing, profile); rows without facts go."""
+    f = F.struct(*[F.col(c) for c in facts.columns if c != "company_id"])
+    return facts.where("qid is not null").select("company_id", FA.entity_listing(f).alias("listing"), FA.profile_columns(f, F.col("headcount_band")).alias("profile"))
+
+
+def find_stock(companies: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Stock of each company name: stocks (pos, code, zwjc, orgId); equal names or equal names without a legal suffix, first in the list."""
+    n = companies.select("company").distinct().select("company", F.trim(text("company")).alias("n")).where("n <> ''")
+    s = stocks.select("pos", "code", F.trim(text("zwjc")).alias("zwjc"), "orgId").where("zwjc <> ''")
+    equal = n.join(s, n["n"] == s["zwjc"]).select("company", "pos", "code", "zwjc", "orgId")
+    keyed = n.withColumn("k", FA.stock_name_key("n")).where("k <> ''").join(s.withColumn("k", FA.stock_name_key("zwjc")), "k").select("company", "pos", "code", "zwjc", "orgId")
+    best = equal.union(keyed).groupBy("company").agg(F.min(F.struct("pos", "code", "zwjc", "orgId")).alias("s"))
+    return best.select("company", "s.*", FA.stock_listing("s.code", "s.zwjc", "s.orgId").alias("listing"))

@@ -343,3 +343,54 @@ def _(t):
                                 F.array(F.lit("lever"), F.lit("nowhere"), F.lit("greenhouse")).alias("ats"), F.col("c_mktsegment").alias("industry"))
     templates = t.spark.createDataFrame(BOARD_TEMPLATES, "adapter string, template string")
     return D.expand_candidates(targets, templates, t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("company")), t.list)
+
+
+from ..functions import facts as FA  # noqa: E402
+
+CITY_OF = "case when company_id % 7 = 3 then null else 'city' || (500 + company_id % 7) end"
+FACTS_SQL = f"""with f as (select company_id, 'Q' || company_id as qid, case when company_id % 3 = 0 then '公司' || company_id else s_name end as label, company_id % 4 <> 3 as listed, case when company_id % 5 <> 0 then 'T' || company_id end as ticker,
+  cast(case company_id % 3 when 0 then 2001 when 1 then 1987 end as int) as founded_year, case when company_id % 2 = 0 then company_id * 100 + 1 end as employees, {CITY_OF} as hq, case company_id % 4 when 0 then ['纽交所', '纳斯达克'] when 1 then ['甲所'] else [] end as ex from r_register),
+  g as (select *, case when employees <= 0 then null when employees < 100 then '1-100' when employees < 500 then '100-500' when employees < 1000 then '500-1000' when employees < 5000 then '1000-5000' when employees < 10000 then '5000-1万' when employees < 50000 then '1万-5万' when employees < 100000 then '5万-10万' when employees is not null then '10万+' end as headcount_band from f)"""
+
+
+def facts(t):
+    labels = t.spark.createDataFrame([("Q999", "甲所"), ("Q1", "")] + [(f"Q{500 + k}", f"city{500 + k}") for k in range(7) if k != 3], "qid string, label string")
+    return IN.company_facts(t.register.select("company_id", "entity"), labels)
+
+
+@query("company_facts", FACTS_SQL + " select company_id, qid, label, listed, ticker, founded_year, employees, headcount_band, hq, array_to_string(ex, ',') as exchanges from g")
+def _(t):
+    return facts(t).select("company_id", "qid", "label", "listed", "ticker", "founded_year", "employees", "headcount_band", "hq", F.array_join("exchanges", ",").alias("exchanges"))
+
+
+@query("listing_rows", FACTS_SQL + """ select company_id, case when listed or founded_year is not null then case when listed then '据 Wikidata 公开资料，' || label || ' 为已上市公司，挂牌于' || case when len(ex) > 0 then array_to_string(ex, '、') else '公开市场' end
+    || case when ticker is not null and len(ex) > 0 then '（' || array_to_string(ex, '/') || ' ' || ticker || '）' when ticker is not null then '（代码 ' || ticker || '）' else '' end || '。' else '据 Wikidata 公开资料，' || label || ' 当前未见公开上市记录（未上市 / 未在主要交易所挂牌）。' end end as content,
+  case when listed then 'listed' when founded_year is not null then 'private' end as status, case when listed then nullif(array_to_string(ex, '/'), '') end as exchange, case when listed or founded_year is not null then ticker end as ticker, founded_year, headcount_band, hq as hq_location, case when listed then '已上市' else '未上市/未披露' end as funding_stage from g""")
+def _(t):
+    return IN.listing_rows(facts(t)).select("company_id", "listing.content", "listing.status", "listing.exchange", "listing.ticker", "profile.founded_year", "profile.headcount_band", "profile.hq_location", "profile.funding_stage")
+
+
+@query("filing_listing", """select company_id, case when company_id % 5 <> 0 then '据 SEC EDGAR 官方披露，' || s_name || ' 在美国证监会持续申报，最新申报 ' || case when company_id % 9 >= 5 then '8-K（2024-01-0' || company_id % 9 else '10-K（2024-01-05' end || '），挂牌于 NYSE/Nasdaq（代码 ' || case when company_id % 4 = 0 then 'AB' else 'T' || company_id end || '）。' end as content,
+  case when company_id % 5 <> 0 then 'NYSE/Nasdaq' end as exchange, case when company_id % 5 <> 0 then case when company_id % 4 = 0 then 'AB' else 'T' || company_id end end as ticker, case when company_id % 5 <> 0 then case when company_id % 9 >= 5 then '8-K' else '10-K' end end as latest_form,
+  case when company_id % 5 <> 0 then case when company_id % 9 >= 5 then '2024-01-0' || company_id % 9 else '2024-01-05' end end as latest_filing_date, case when company_id % 5 <> 0 then case when company_id % 3 = 0 then 'https://www.sec.gov/files/company_tickers.json'
+  else 'https://www.sec.gov/cgi-bin/browse-edgar?action=getcompany&CIK=' || company_id || '&type=&dateb=&owner=include&count=40' end end as source_url from r_register""")
+def _(t):
+    f = t.register.select("company_id", FA.filing_listing("submissions", "ticker").alias("l"))
+    return f.select("company_id", "l.content", "l.exchange", "l.ticker", "l.latest_form", "l.latest_filing_date", "l.source_url")
+
+
+@query("reported_figures", """with f as (select company_id, cast(case when company_id % 6 = 0 then company_id * 9 + 100 else company_id * 7 + 100 end as double) as revenue, cast(case when company_id % 6 = 0 then company_id * 7 + 100 else company_id * 5 + 50.5 end as double) as before_ from r_register)
+  select company_id, case when company_id % 6 = 0 then 2022 else 2021 end as fy, revenue, cast(case when company_id % 3 = 0 then -company_id end as double) as net_income, cast(round_even((revenue - before_) / abs(before_) * 100, 0) as bigint) as revenue_yoy_pct, company_id + 30 as employees from f""")
+def _(t):
+    return t.register.select("company_id", FA.reported_figures("report").alias("r")).select("company_id", "r.*")
+
+
+STOCKS = "select cast(s_suppkey as int) as pos, concat(case s_suppkey % 6 when 0 then '60' when 1 then '00' when 2 then '83' when 3 then '92' when 4 then '11' else '' end, case when s_suppkey % 6 = 5 then '' else cast(s_suppkey as string) end) as code, concat(s_name, case when s_suppkey % 3 = 0 then '股份有限公司' when s_suppkey % 3 = 1 then '集团' else '' end) as zwjc, concat('o', cast(s_suppkey as string)) as orgId from {supplier}"
+
+
+@query("find_stock", f"""with s as ({STOCKS.replace('{supplier}', 'supplier')}), n as (select s_suppkey, s_name || case when s_suppkey % 2 = 0 then '有限公司' else '' end as company from supplier),
+  x as (select n.company, s.*, case substr(code, 1, 2) when '60' then '上交所' when '00' then '深交所' when '92' then '北交所' else case when code <> '' and substr(code, 1, 1) in ('8', '4') then '北交所' else 'A股' end end as m from n join s on s.pos = n.s_suppkey)
+  select company, pos, code, zwjc, case when code <> '' then m end as exchange, case when code <> '' then '据巨潮资讯网（中国证监会指定披露平台），' || zwjc || ' 为 A 股上市公司，股票代码 ' || code || '（' || m || '）。' end as content from x""")
+def _(t):
+    names = t.supplier.select(F.expr("concat(s_name, case when s_suppkey % 2 = 0 then '有限公司' else '' end)").alias("company"))
+    return IN.find_stock(names, t.sql(STOCKS)).select("company", "pos", "code", "zwjc", "listing.exchange", "listing.content")

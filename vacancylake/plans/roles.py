@@ -189,3 +189,19 @@ select company_id, case id % 5 when 0 then 'timing' when 1 then 'timing' when 2
     when 3 then concat(cast(month_end as string), '到', cast(month_start as string), '月、1 月') when 4 then '不定' else null end as time_window,
   case when id % 4 = 0 then '  ' when id % 4 = 1 then null else concat('note ', cast(id % 9 as string)) end as title, concat(batch, season, publisher, batch, season, publisher, event) as content
 from {r_claims}"""
+
+# suppliers as entities, filers and reports of public registers, in the JSON those publish
+ROLE_SQL["r_register"] = """
+select s_suppkey as company_id, s_name, concat('{{"id":"Q', cast(s_suppkey as string), '","labels":{{"en":{{"value":"', s_name, '"}}', case when s_suppkey % 3 = 0 then concat(',"zh":{{"value":"公司', cast(s_suppkey as string), '"}}') else '' end,
+  '}},"claims":{{"P31":[', case when s_suppkey % 4 = 2 then '{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q891723"}}}}}}}}' else '{{"mainsnak":{{}}}}' end, '],"P414":[',
+  case s_suppkey % 4 when 0 then '{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q13677"}}}}}}}},{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q82059"}}}}}}}},{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q174687"}}}}}}}}'
+    when 1 then '{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q999"}}}}}}}}' else '' end, '],"P249":[', case when s_suppkey % 5 = 0 then '' else concat('{{"mainsnak":{{"datavalue":{{"value":7}}}}}},{{"mainsnak":{{"datavalue":{{"value":"T', cast(s_suppkey as string), '"}}}}}}') end,
+  '],"P571":[', case s_suppkey % 3 when 0 then '{{"mainsnak":{{"datavalue":{{"value":{{"time":"+1799-00-00T00:00:00Z"}}}}}}}},{{"mainsnak":{{"datavalue":{{"value":{{"time":"+2001-04-00T00:00:00Z"}}}}}}}}' when 1 then '{{"mainsnak":{{"datavalue":{{"value":{{"time":"+1987-01-01T00:00:00Z"}}}}}}}}' else '' end,
+  '],"P1128":[', case when s_suppkey % 2 = 0 then concat('{{"mainsnak":{{"datavalue":{{"value":{{"amount":"+', cast(s_suppkey * 100 + 1 as string), '"}}}}}},"qualifiers":{{"P585":[{{"datavalue":{{"value":{{"time":"+2020-01-01T00:00:00Z"}}}}}}]}}}},{{"mainsnak":{{"datavalue":{{"value":{{"amount":"+9"}}}}}},"qualifiers":{{"P585":[{{"datavalue":{{"value":{{"time":"+2010-01-01T00:00:00Z"}}}}}}]}}}},{{"mainsnak":{{"datavalue":{{"value":{{"amount":"5"}}}}}}}}')
+    else '{{"mainsnak":{{"datavalue":{{"value":{{"amount":"x"}}}}}}}}' end, '],"P159":[{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q1"}}}}}}}},{{"mainsnak":{{"datavalue":{{"value":{{"id":"Q', cast(500 + s_suppkey % 7 as string), '"}}}}}}}}]}}}}') as entity,
+  concat('{{"name":" ', s_name, ' ","cik":', case when s_suppkey % 3 = 0 then 'null' else cast(s_suppkey as string) end, ',"exchanges":', case when s_suppkey % 5 = 0 then '[null,""]' else '["NYSE",null,"Nasdaq","NYSE"]' end, ',"tickers":["AB", "CD"],"filings":{{"recent":{{"form":["8-K","10-K","10-K/A"],"filingDate":["2024-01-0',
+    cast(s_suppkey % 9 as string), '","2024-01-05","2024-01-05"]}}}}}}') as submissions, case when s_suppkey % 4 = 0 then null else concat('nyse: t', cast(s_suppkey as string)) end as ticker,
+  concat('{{"facts":{{"us-gaap":{{"', case when s_suppkey % 2 = 0 then 'Revenues' else 'SalesRevenueNet' end, '":{{"units":{{"USD":[{{"fy":2021,"fp":"FY","form":"10-K","val":', cast(s_suppkey * 7 + 100 as string), ',"end":"2021-12-31"}},{{"fy":2020,"fp":"FY","form":"20-F","val":',
+    cast(s_suppkey * 5 + 50 as string), '.5,"end":"2020-12-31"}},{{"fy":2021,"fp":"FY","form":"10-K","val":"x","end":"2022-12-31"}},{{"fy":2021,"fp":"Q3","form":"10-Q","val":1,"end":"2022-09-30"}}', case when s_suppkey % 6 = 0 then concat(',{{"fy":2022,"fp":"FY","form":"10-K","val":', cast(s_suppkey * 9 + 100 as string), ',"end":"2021-12-31"}}') else '' end, ']}}}}',
+    case when s_suppkey % 3 = 0 then concat(',"NetIncomeLoss":{{"units":{{"USD":[{{"fy":2019,"fp":"FY","form":"40-F","val":-', cast(s_suppkey as string), ',"end":"2019-12-31"}}]}}}}') else '' end, '}},"dei":{{"EntityNumberOfEmployees":{{"units":{{"pure":[{{"val":12,"end":"2019-01-01"}},{{"val":', cast(s_suppkey + 30 as string), ',"end":"2020-01-01"}}]}}}}}}}}}}') as report
+from {supplier}"""
