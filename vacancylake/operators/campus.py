@@ -107,9 +107,14 @@ def window_state(campus_jobs, has_campus_source, has_any, last_seen, now) -> Col
              .when(col(has_any), "source_only_social").otherwise("no_source"))
 
 
-def campus_page(jobs: DataFrame, dim: DataFrame, sources: DataFrame, now) -> DataFrame:
-    """Cards of the campus page in display order: zone counts, source flags, window state."""
+def campus_page(jobs: DataFrame, dim: DataFrame, sources: DataFrame, now, cycles: DataFrame | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """Cards of the campus page in display order: zone counts, source flags, window state, and (with cycles and profiles) the
+    company's recruitment cycles by batch and start."""
     z = campus_zone(jobs, dim, now).join(CV.source_flags(dim, sources).drop("name"), "pos")
+    if cycles is not None:
+        one = F.struct(batch_rank().alias("rank"), F.col("month_start"), F.col("id"), "season", "batch", "event", "value_text", "month_end")
+        own = cycles_for(dim, cycles, profiles, now).groupBy("pattern").agg(F.array_sort(F.collect_list(one)).alias("cycles"))
+        z = z.join(dim.select("pos", "pattern"), "pos").join(own, "pattern", "left").drop("pattern")
     z = z.withColumn("window", window_state("campus_jobs", "has_campus", "has_any", "last_seen_at", now))
     rank = F.when(F.col("window") == "hiring", 0).when(F.col("window") == "no_campus_now", 1).when(F.col("window") == "stale", 2).otherwise(3)
     return z.withColumn("rank", rank).orderBy("rank", "pos")
@@ -246,6 +251,20 @@ def classify_board(results: DataFrame) -> DataFrame:
     return results.withColumn("state", F.when(z("failed") >= 1, "no_healthy_jobs").when(z("success") + z("empty") >= 1, "empty_board").otherwise("no_healthy_jobs"))
 
 
+def board_decisions(results: DataFrame, boards: DataFrame, now) -> DataFrame:
+    """What a probed board's result means and when to look again: results (candidate, failed, success, empty, reason), boards (id,
+    candidate, duplicate_of) as found beforehand.
+
+    A board that another source already covers is a duplicate whatever was fetched; robots and unreachable boards keep that
+    reason; else classify_board decides. Waiting boards are retried sooner in the season.
+    """
+    b = boards.select("candidate", "duplicate_of").groupBy("candidate").agg(F.min("duplicate_of").alias("duplicate_of"))
+    rows = classify_board(results).join(b, "candidate", "left")
+    state = F.when(F.col("duplicate_of").isNotNull(), "duplicate_board").when(F.col("reason").isin("robots_blocked", "unreachable"), F.col("reason")).otherwise(F.col("state"))
+    rows = rows.withColumn("state", state)
+    return rows.withColumn("next_retry_at", at(now) + F.make_dt_interval(days=retry_days("state", F.month(at(now))).cast("int")))
+
+
 def coverage_ratio(inserted, total) -> Column:
     return F.when(col(total) > 0, col(inserted) / col(total))
 

@@ -174,6 +174,40 @@ def gap_census(jobs: DataFrame, sources: DataFrame, dim: DataFrame, previous: Da
                     F.coalesce("attempts", F.lit(0)).alias("attempts")))
 
 
+#: fixed values: states whose first retry is due at once
+DUE_STATES = ["thin_only", "no_active_jobs"]
+
+
+def gap_ledger(jobs: DataFrame, sources: DataFrame, dim: DataFrame, previous: DataFrame, now, list_version: str) -> DataFrame:
+    """The census as ledger rows: state, source, evidence and retry time of every list company, carried from the rows before.
+
+    previous: (pattern, state, attempts, rounds_no_entry, source_id, official_entry_url, detected_platform, fail_reason,
+    evidence (JSON object), last_attempt_at, next_retry_at), one row a pattern. New evidence replaces the keys it knows and
+    leaves the others. A healthy company owes no reason and no retry; a thin or empty one without a retry time is due now.
+    Evidence lists hold names and ids of one company only; they are built from distinct names, not from postings.
+    """
+    state = gap_census(jobs, sources, dim, previous, now)
+    entries = dim.select("pos", "pattern").distinct()
+    names = jobs.where("status = 'active' and company <> ''").select("company").distinct()
+    told = C.match_patterns(dim.select("pattern").distinct(), "pattern", names, "company").groupBy("pattern").agg(F.array_sort(F.collect_set("company")).alias("_companies"))
+    found = C.match_patterns(entries, "pattern", sources.select(F.col("id").cast("string").alias("source"), F.col("id").alias("_sid"), "company", "enabled"), "company")
+    ids = found.groupBy("pos").agg(F.transform(F.array_sort(F.collect_set(F.struct("_sid", "source"))), lambda x: x["source"]).alias("_sources"), F.min(F.when(F.col("enabled"), F.col("_sid"))).cast("string").alias("_enabled"))
+    carried = ["rounds_no_entry", "source_id", "official_entry_url", "detected_platform", "fail_reason", "evidence", "last_attempt_at", "next_retry_at"]
+    rows = state.join(told, "pattern", "left").join(ids, "pos", "left").join(previous.select("pattern", *[F.col(c).alias("_" + c) for c in carried]), "pattern", "left")
+    none = F.array().cast("array<string>")
+    own = F.struct(F.lit(list_version).alias("list_version"), F.col("active_total").alias("active_jobs"), F.col("healthy").alias("healthy_jobs"), F.col("direct_healthy").alias("direct_healthy_jobs"),
+                   F.col("parent_healthy").alias("parent_portal_healthy_jobs"), (F.col("parent_healthy") > 0).alias("covered_via_parent_portal"), F.coalesce("_companies", none).alias("matched_job_companies"), F.coalesce("_sources", none).alias("matched_source_ids"))
+    fresh = F.from_json(F.to_json(own), "map<string,variant>")
+    old = F.coalesce(F.from_json("_evidence", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    evidence = F.to_json(F.map_concat(F.map_filter(old, lambda k, _v: ~F.array_contains(F.map_keys(fresh), k)), fresh))
+    healthy = F.col("state") == "healthy"
+    due = F.col("state").isin(DUE_STATES) & F.col("_next_retry_at").isNull()
+    return rows.select("pos", "name", "pattern", "state", F.coalesce("_enabled", F.when(F.col("state") != "unknown", F.col("_source_id").cast("string"))).alias("source_id"),
+                       F.col("_official_entry_url").alias("official_entry_url"), F.col("_detected_platform").alias("detected_platform"), F.when(~healthy, F.col("_fail_reason")).alias("fail_reason"), evidence.alias("evidence"),
+                       "attempts", F.coalesce("_rounds_no_entry", F.lit(0)).alias("rounds_no_entry"), F.col("_last_attempt_at").alias("last_attempt_at"),
+                       F.when(healthy, None).when(due, at(now)).otherwise(F.col("_next_retry_at")).alias("next_retry_at"), at(now).alias("updated_at"))
+
+
 def company_covered(names: DataFrame, existing: DataFrame) -> DataFrame:
     """Proposed names with ``covered``: equal, equal after folding, or attributable to an existing entity name.
 

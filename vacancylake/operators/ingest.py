@@ -99,10 +99,10 @@ def upsert_jobs(existing: DataFrame, batch: DataFrame, now, columns: Sequence[st
 
     The last arrival of a URL in the batch wins; an active stored row is preferred
     over others of the URL. Expired rows stay expired, removed rows come back. First
-    sight and check stamps are never touched.
+    sight and check stamps are never touched. Batch rows without a URL are left out: they name no posting.
     """
     n = at(now)
-    fresh = C.latest_per_key(batch, ["canonical_jd_url"], [F.col("arrived_seq").desc()])
+    fresh = C.latest_per_key(batch.where("trim(canonical_jd_url) <> ''"), ["canonical_jd_url"], [F.col("arrived_seq").desc()])
     new_cols = [c for c in CRAWLER if c in batch.columns]
     b = fresh.select("canonical_jd_url", *[F.col(c).alias("n_" + c) for c in new_cols], F.lit(True).alias("_new"))
     # mark the one stored row of each URL the batch may update; the others pass through

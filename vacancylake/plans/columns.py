@@ -126,10 +126,12 @@ def _(t):
                           D.campus_deadline("deadline", NOW).cast("string").alias("campus_day"))
 
 
-@query("iso_date", """select l_orderkey, l_partkey, l_linenumber, l_suppkey, strftime(l_shipdate, '%Y-%m-%d') as from_seconds, strftime(l_shipdate, '%Y-%m-%d') as from_millis,
-  strftime(l_shipdate, '%Y-%m-%d') as from_text, cast(null as varchar) as from_junk from lineitem where l_shipdate >= timestamp '2001-09-10'""")
+# seconds up to 10^9 are no stamps; their milliseconds are read as seconds of a far year
+@query("iso_date", """select l_orderkey, l_partkey, l_linenumber, l_suppkey, case when epoch(l_shipdate) > 1e9 then strftime(l_shipdate, '%Y-%m-%d') end as from_seconds,
+  case when epoch(l_shipdate) > 1e9 then strftime(l_shipdate, '%Y-%m-%d') else '+' || strftime(make_timestamp((epoch(l_shipdate) * 1000000000)::bigint), '%Y-%m-%d') end as from_millis,
+  strftime(l_shipdate, '%Y-%m-%d') as from_text, cast(null as varchar) as from_junk from lineitem""")
 def _(t):
-    l = t.lineitem.where("l_shipdate >= timestamp '2001-09-10'")
+    l = t.lineitem
     sec = F.unix_timestamp("l_shipdate")
     return l.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", D.iso_date(sec).alias("from_seconds"),
                     D.iso_date(sec * 1000).alias("from_millis"), D.iso_date(F.date_format("l_shipdate", "yyyy年M月d日")).alias("from_text"),

@@ -130,6 +130,31 @@ def _(t):
     return CV.gap_census(t.jobs, s, dim, prev, NOW).select("pos", "state", "attempts", "active_total")
 
 
+@query("gap_ledger", f"""with a as (select company, {AGG} from r_jobs where status = 'active' group by company), v as ({LEDGER}, min(pos) as p from r_list group by pattern),
+  c as (select p.pos, p.name, p.pattern, coalesce(sum(a.healthy), 0)::bigint as healthy, coalesce(sum(a.active_total), 0)::bigint as total, coalesce(list_sort(list_distinct(list(a.company) filter (a.company is not null and a.company <> ''))), []) as companies from r_list p left join a on a.company ilike p.pattern group by p.pos, p.name, p.pattern),
+  s as (select p.pos, list_transform(list_sort(list(s.id)), lambda x: cast(x as varchar)) as ids, min(s.id) filter (s.enabled) as on_ from r_list p join r_sources s on s.company ilike p.pattern group by p.pos),
+  r as (select c.*, v.p, v.attempts, coalesce(s.ids, []) as ids, s.on_, case when healthy > 0 then 'healthy' when total > 0 then 'thin_only' when s.on_ is not null then 'no_active_jobs' when v.state not in ('healthy', 'thin_only', 'no_active_jobs') then v.state else 'unknown' end as state from c left join s using (pos) left join v using (pattern))
+  select pos, name, pattern, state, case when on_ is not null then cast(on_ as varchar) when state <> 'unknown' then 'p' || p end as source_id, case when p % 2 = 0 then 'https://e/' || p end as official_entry_url, case when state <> 'healthy' then 'why' || p % 3 end as fail_reason, attempts, p % 4 as rounds_no_entry,
+    '{{' || case when p % 3 = 0 then '"note":{{"k":[1,null]}},' else '' end || '"active_jobs":' || total || ',"covered_via_parent_portal":false,"direct_healthy_jobs":' || healthy || ',"healthy_jobs":' || healthy || ',"list_version":"v7","matched_job_companies":' || cast(to_json(companies) as varchar)
+      || ',"matched_source_ids":' || cast(to_json(ids) as varchar) || ',"parent_portal_healthy_jobs":0}}' as evidence,
+    case when state = 'healthy' then null when state in ('thin_only', 'no_active_jobs') and p % 5 <> 0 then timestamp '{NOW}' when p % 5 = 0 then timestamp '2002-01-01' end as next_retry_at from r""")
+def _(t):
+    dim = t.list.withColumn("parent_pattern", F.lit(None).cast("string")).withColumn("brand_tokens", F.array().cast("array<string>"))
+    s = t.sources.withColumn("board", U.source_board("adapter_name", "source_url"))
+    p = t.list.groupBy("pattern").agg(F.min("pos").alias("p"))
+    state = F.element_at(F.array(*map(F.lit, ("healthy", "thin_only", "no_active_jobs", "anti_bot", "login_wall", "manual_review"))), (F.col("p") % 6 + 1).cast("int"))
+    old = F.expr("""case when p % 3 = 0 then '{"note": {"k": [1, null]}, "active_jobs": 99}' when p % 3 = 1 then 'broken' end""")
+    prev = p.select("pattern", state.alias("state"), (F.col("p") % 4).cast("int").alias("attempts"), (F.col("p") % 4).cast("int").alias("rounds_no_entry"), F.concat(F.lit("p"), "p").alias("source_id"), F.expr("case when p % 2 = 0 then concat('https://e/', p) end").alias("official_entry_url"),
+                    F.lit(None).cast("string").alias("detected_platform"), F.concat(F.lit("why"), F.col("p") % 3).alias("fail_reason"), old.alias("evidence"), F.lit(None).cast("timestamp").alias("last_attempt_at"), F.expr("case when p % 5 = 0 then timestamp '2002-01-01' end").alias("next_retry_at"))
+    rows = CV.gap_ledger(t.jobs, s, dim, prev, NOW, "v7")
+    told = F.from_json("evidence", "map<string,variant>")
+    # keys in a fixed order: the merged note first, then the census keys
+    keys = F.sort_array(F.map_keys(told))
+    ordered = F.concat(F.filter(keys, lambda k: k == "note"), F.filter(keys, lambda k: k != "note"))
+    text = F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.element_at(told, k)))), ","), F.lit("}"))
+    return rows.select("pos", "name", "pattern", "state", "source_id", "official_entry_url", "fail_reason", "attempts", "rounds_no_entry", text.alias("evidence"), "next_retry_at")
+
+
 @query("industry_coverage", "select industry, count(*) as total, count(*) filter (enabled) as healthy, count(*) filter (enabled) * 1.0 / count(*) as ratio from r_sources group by industry")
 def _(t):
     rows = t.sources.select(F.array("industry").alias("industries"), F.when(F.col("enabled"), "healthy").otherwise("gap").alias("state"))

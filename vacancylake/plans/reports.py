@@ -72,10 +72,10 @@ def _(t):
     return IN.insight_gate(IN.items_with_sources(items, links, src), "2000-01-01").select("id", "displayable", "outdated")
 
 
-@query("match_profile", "select s_name as company, s_suppkey % 40 as profile_id, case when s_suppkey % 40 = s_suppkey and s_suppkey % 2 = 0 then 0 else 1 end as how from supplier where s_suppkey < 40")
+@query("match_profile", "select s_name as company, s_suppkey % 40 as profile_id, case when s_suppkey % 2 = 0 then 0 else 1 end as how from supplier")
 def _(t):
-    names = t.supplier.where("s_suppkey < 40").select(F.col("s_name").alias("company"))
-    prof = t.supplier.where("s_suppkey < 40").select(F.col("s_suppkey").cast("int").alias("pos"), (F.col("s_suppkey") % 40).alias("profile_id"),
+    names = t.supplier.select(F.col("s_name").alias("company"))
+    prof = t.supplier.select(F.col("s_suppkey").cast("int").alias("pos"), (F.col("s_suppkey") % 40).alias("profile_id"),
         F.expr("case when s_suppkey % 2 = 0 then concat(s_name, ' Inc.') else concat('甲', s_name, '乙') end").alias("name"), F.array().cast("array<string>").alias("aliases"))
     return IN.match_profile(names, prof).select("company", "profile_id", "how")
 
@@ -108,10 +108,10 @@ def _(t):
     return IN.pick_evidence(r).select("claim_id", "publisher", "pos")
 
 
-@query("annual_financials", "with y as (select s_nationkey as company, s_suppkey as fiscal_end, s_acctbal as value, lag(s_acctbal) over (partition by s_nationkey order by s_suppkey) as prev, row_number() over (partition by s_nationkey order by s_suppkey desc) rn from supplier) select company, fiscal_end, value, prev from y where rn = 1")
+@query("annual_financials", "with y as (select s_nationkey as company, s_suppkey as fiscal_end, s_acctbal as value, lag(s_acctbal) over (partition by s_nationkey order by s_suppkey) as prev, row_number() over (partition by s_nationkey order by s_suppkey desc) rn from supplier) select company, fiscal_end, value, prev, case when prev <> 0 then round_even((value - prev) / abs(prev) * 100, 1) end as yoy_pct from y where rn = 1")
 def _(t):
     f = t.supplier.select(F.col("s_nationkey").alias("company"), F.lit("revenue").alias("metric"), F.col("s_suppkey").alias("fiscal_end"), F.col("s_acctbal").alias("value"))
-    return IN.annual_financials(f).select("company", "fiscal_end", "value", "prev")
+    return IN.annual_financials(f).select("company", "fiscal_end", "value", "prev", "yoy_pct")
 
 
 # --- campus ---
@@ -227,6 +227,15 @@ def _(t):
     return CA.classify_board(r).select("id", "state")
 
 
+@query("board_decisions", """select id, case when id % 10 = 3 then 'duplicate_board' when id % 7 = 1 then 'robots_blocked' when id % 7 = 2 then 'unreachable' when status in ('failed', 'skipped') then 'no_healthy_jobs' else 'empty_board' end as state,
+  timestamp '2001-09-02 00:00:00' + to_days(case when id % 10 = 3 then 3650 when id % 7 = 1 then 3650 when id % 7 = 2 then 30 when status in ('failed', 'skipped') then 30 else 3 end) as next_retry_at from r_runs""")
+def _(t):
+    r = t.runs.select("id", F.concat(F.lit("b"), F.col("id")).alias("candidate"), F.expr("case when status = 'failed' then 1 end").alias("failed"), F.expr("case when status = 'success' then 1 end").alias("success"),
+                      F.expr("case when status = 'partial_success' then 1 end").alias("empty"), F.expr("case id % 7 when 1 then 'robots_blocked' when 2 then 'unreachable' end").alias("reason"))
+    boards = r.select("id", "candidate", F.expr("case when id % 10 = 3 then id + 1 end").alias("duplicate_of"))
+    return CA.board_decisions(r, boards.union(boards.where("id % 10 = 3")), "2001-09-02 00:00:00").select("id", "state", "next_retry_at")
+
+
 # --- queues ---
 
 @query("enrich_queue", "select id, row_number() over (partition by source_id order by first_seen_at desc, id) as turn from r_posts where status = 'active' and l_linenumber % 3 = 0 and enrich_fail_count < 3 and source_id in (select id from r_sources where enabled)")

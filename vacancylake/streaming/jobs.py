@@ -28,6 +28,15 @@ def stream_upsert(batches: DataFrame, sources: DataFrame, read_store, publish, c
     return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
 
 
+def stream_upsert_buckets(batches: DataFrame, sources: DataFrame, store, checkpoint: str, now_of=None):
+    """Upsert every micro-batch into a bucketed store (sources.buckets.JobStore): only the buckets it touches are rewritten."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = now_of(batch_id) if now_of else datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+        store.upsert(I.normalize_jobs(batch, sources), now, batch_id)
+
+    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+
+
 def stream_events(events: DataFrame, watermark: str = "7 days") -> DataFrame:
     """Milestones once per event key; duplicates inside the watermark are dropped."""
     return events.withWatermark("occurred_at", watermark).dropDuplicatesWithinWatermark(["event_key"])
