@@ -48,6 +48,14 @@ def test_keep_good_leaves_rows_unchanged(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i in range(120) if i % 3]
 
 
+def test_statistics_of_a_million_capitals(documents):
+    texts = ["A" * 1_000_000 + "b", "!" * 1_000_000 + "b", "A" * 1_000_000 + " AB1 ABc !!", "x " * 300_000 + "x"]
+    rows = documents(list(enumerate(texts))).select(*[c.alias(n) for n, c in quality.statistics(F.col("text")).items()]).collect()
+    assert rows[0]["all_upper_words"] == 0 and rows[1]["symbol_words"] == 0
+    assert rows[2]["all_upper_words"] == 2 / 4 and rows[2]["symbol_words"] == 1 / 4
+    assert rows[3]["doubled_words"] > 0.9
+
+
 def test_rules_are_narrowed():
     rule = (("a", "<=", 3.0), ("a", "<=", 2.0), ("b", ">", 1.0), ("b", ">", 4.0))
     assert quality.simplified(rule) == (("a", "<=", 2.0), ("b", ">", 4.0))

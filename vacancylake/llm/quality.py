@@ -19,7 +19,10 @@ TREES, DEPTH, LASSO = 20, 3, 5e-4
 
 
 def statistics(text: Column) -> dict[str, Column]:
-    """Name to value (double) of each statistic; null counts as the empty text, for which all are 0."""
+    """Name to value (double) of each statistic; null counts as the empty text, for which all are 0.
+
+    Quantifiers are possessive where a word could be tried again from its middle, so a word of any length is read once.
+    """
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1)).cast("double")
     words = F.regexp_count(t, F.lit(r"\S+")).cast("double")
@@ -29,10 +32,10 @@ def statistics(text: Column) -> dict[str, Column]:
         "log_words": F.log1p(words),
         "word_length": F.length(t) / some,
         "upper_share": count(r"\p{Lu}") / n,
-        "all_upper_words": count(r"(?<!\S)\p{Lu}{2,}[^\p{Ll}\s]*(?!\S)") / some,
+        "all_upper_words": count(r"(?<!\S)\p{Lu}{2,}+[^\p{Ll}\s]*+(?!\S)") / some,
         "symbol_share": count(r"[^\p{L}\p{N}\s.,;:'\"()?-]") / n,
-        "symbol_words": count(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)") / some,
-        "doubled_words": count(r"(?<!\S)(\S+)\s+(?=\1(?!\S))") / some,
+        "symbol_words": count(r"(?<!\S)[^\p{L}\p{N}\s]++(?!\S)") / some,
+        "doubled_words": count(r"(?<!\S)(\S++)\s++(?=\1(?!\S))") / some,
         "digit_share": count(r"[0-9]") / n,
         "stop_share": count(r"[.!?](?=\s|$)") / some,
         "comma_share": count(r"[,;:]") / some,
