@@ -174,3 +174,9 @@ def test_store_rewrites_only_touched_buckets(spark, tmp_path):
     versions = store.versions()
     assert sorted(versions.values()).count(1) == 1 and store.events().count() >= 60
     assert store.upsert(batch([], "x"), "2001-01-04", 2) == [] and store.read().count() == 60
+
+
+def test_keyword_groups_from_json(spark, tmp_path):
+    from vacancylake.sources import dims
+    (tmp_path / "g.json").write_text(json.dumps([{"function": "A", "terms": ["ai", " java ", "AI engineer"]}, {"function": None, "terms": ["数据"]}, {"function": "B", "terms": ["", None]}]))
+    assert dims.keyword_groups(spark, str(tmp_path / "g.json")) == [("A", ["ai", "java", "AI engineer"]), (None, ["数据"])]

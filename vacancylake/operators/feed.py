@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import company as CO, fixed as V, geo as G, keywords as KW, scoring as S, text as T, tokens as K
 from ..functions.base import at, col, hours_between, text, ts
 from . import core as C
-from .search import excluded, fold_actions, match_clauses, stage_prefilter
+from .search import SEARCHED, excluded_words, fold_actions, haystack, match_clauses, stage_prefilter
 
 
 def build_profiles(prefs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -97,12 +97,14 @@ def recall(profiles: DataFrame, jobs: DataFrame, actions: DataFrame, now, budget
     mine = clauses.select("user_id", "tier", "ckey").join(hits, "ckey").select("user_id", "tier", "id").distinct()
     city = mine.where("tier = 'cityNew'").select("user_id", "id", F.lit(True).alias("_city"))
     choosy = clauses.where("tier = 'cityNew'").select("user_id", F.lit(True).alias("_choosy")).distinct()
-    # the user's own tests: scope, stage, exclusions, postings already acted on
-    wide = live.select("id", "title", "company", "location", "job_type", "summary", "salary_text", "jd_url", "job_scope", "country_code", "first_seen_at")
-    p = profiles.select("user_id", "profile_scope", "target_regions", "stage", "exclude_keywords")
-    rows = mine.join(wide, "id").join(p, "user_id")
-    rows = rows.where(scope_ok() & stage_prefilter(F.col("stage")) & ~excluded("exclude_keywords")
-                      & ((F.col("tier") != "cityNew") | (F.col("first_seen_at") >= since)))
+    # the user's own tests: scope, stage, exclusions, postings already acted on; a pair carries short columns only
+    stages = F.array_compact(F.array(*[F.when(stage_prefilter(s), F.lit(s)) for s in V.STAGE_PATTERNS]))
+    narrow = live.select("id", "location", "job_scope", "country_code", "first_seen_at", stages.alias("_stages"))
+    p = profiles.select("user_id", "profile_scope", "target_regions", "stage", (F.size(excluded_words("exclude_keywords")) > 0).alias("_excludes"))
+    rows = mine.join(narrow, "id").join(p, "user_id")
+    staged = ~F.coalesce(F.col("stage").isin(list(V.STAGE_PATTERNS)), F.lit(False)) | F.array_contains("_stages", F.col("stage"))
+    rows = rows.where(scope_ok() & staged & ((F.col("tier") != "cityNew") | (F.col("first_seen_at") >= since))).drop("_stages")
+    rows = without_excluded(rows, profiles, live)
     acted = actions.where("action <> 'viewed'").select("user_id", F.col("job_id").alias("id")).distinct()
     rows = rows.join(acted, ["user_id", "id"], "left_anti").join(city, ["user_id", "id"], "left").join(choosy, "user_id", "left")
     # users without target cities have no near or far: newest first
@@ -114,6 +116,26 @@ def recall(profiles: DataFrame, jobs: DataFrame, actions: DataFrame, now, budget
     return first.select("user_id", "id", "tier")
 
 
+#: exclusion words that are searched in one copy of a text
+WORDS_PER_SCAN = 200
+
+
+def without_excluded(rows: DataFrame, profiles: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Candidate rows (user_id, id, _excludes) whose posting names none of the user's exclusion words.
+
+    Texts meet words once per posting, not once per pair: the distinct words of all users who could see a posting go to its text
+    in lots of WORDS_PER_SCAN, and only (posting, word) hits come back.
+    """
+    words = profiles.select("user_id", F.explode(excluded_words("exclude_keywords")).alias("_word")).distinct()
+    asked = rows.where("_excludes").select("user_id", "id").join(words, "user_id")
+    lots = -(-words.select("_word").distinct().count() // WORDS_PER_SCAN) or 1
+    lots = asked.select("id", "_word").distinct().groupBy("id", F.pmod(F.xxhash64("_word"), F.lit(lots)).alias("_lot")).agg(F.collect_list("_word").alias("_words"))
+    texts = jobs.select("id", haystack(*SEARCHED).alias("_text")).join(lots, "id")
+    hits = texts.select("id", F.explode(F.filter("_words", lambda w: F.col("_text").contains(w))).alias("_word"))
+    gone = asked.join(hits, ["id", "_word"], "left_semi").select("user_id", "id").distinct()
+    return rows.join(gone, ["user_id", "id"], "left_anti").drop("_excludes")
+
+
 def weight_of(tier_no) -> Column:
     return F.when(F.col(tier_no) == 0, 5.0).when(F.col(tier_no) == 1, 2.0).otherwise(3.0)
 

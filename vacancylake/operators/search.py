@@ -120,10 +120,15 @@ def haystack(*cols) -> Column:
 SEARCHED = ("title", "company", "location", "job_type", "summary", "salary_text")
 
 
+def excluded_words(terms) -> Column:
+    """Exclusion words of an array as they are searched: trimmed, lower case, none empty."""
+    return F.filter(F.transform(F.coalesce(col(terms), F.array().cast("array<string>")), lambda w: F.lower(F.trim(w))), lambda w: w != "")
+
+
 def excluded(terms, columns=SEARCHED) -> Column:
     """Whether the whole text of a posting names an exclusion word (array column)."""
     from ..functions.base import let
-    words = F.filter(F.transform(col(terms), lambda w: F.lower(F.trim(w))), lambda w: w != "")
+    words = excluded_words(terms)
     hit = let(haystack(*columns), lambda h: F.exists(words, lambda w: h.contains(w)))
     return F.coalesce(F.when(F.size(words) > 0, hit), F.lit(False))
 

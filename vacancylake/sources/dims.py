@@ -22,8 +22,21 @@ def must_apply_dim(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def union_patterns(lists: DataFrame) -> DataFrame:
-    """Distinct patterns over all scopes in first-seen order."""
-    return lists.groupBy("pattern").agg(F.min("pos").alias("pos"))
+    """Distinct patterns over all scopes in first-seen order: scope by scope (column scope_pos, else by name), then by position."""
+    scope = F.col("scope_pos") if "scope_pos" in lists.columns else F.col("scope") if "scope" in lists.columns else F.lit(0)
+    first = lists.groupBy("pattern").agg(F.min(F.struct(scope.alias("scope"), "pos")).alias("f"))
+    return first.select("pattern", F.col("f.scope").alias("scope"), F.col("f.pos").alias("pos"))
+
+
+def keyword_groups(spark: SparkSession, path: str) -> list[tuple]:
+    """JSON array of {"function": name or null, "terms": [...]} as the vocabulary that searches take as ``groups``.
+
+    A vocabulary becomes part of the expressions, so it is read to the driver: meant for thousands of terms, not for data.
+    Terms are trimmed; empty terms and groups without a term go.
+    """
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<struct<`function`:string,terms:array<string>>>")).alias("g")).select("g.*").collect()
+    cleaned = [(r["function"], [t.strip() for t in r["terms"] or [] if t and t.strip()]) for r in rows]
+    return [(fn, terms) for fn, terms in cleaned if terms]
 
 
 def industry_overrides(spark: SparkSession, path: str) -> DataFrame:
