@@ -180,3 +180,14 @@ def test_keyword_groups_from_json(spark, tmp_path):
     from vacancylake.sources import dims
     (tmp_path / "g.json").write_text(json.dumps([{"function": "A", "terms": ["ai", " java ", "AI engineer"]}, {"function": None, "terms": ["数据"]}, {"function": "B", "terms": ["", None]}]))
     assert dims.keyword_groups(spark, str(tmp_path / "g.json")) == [("A", ["ai", "java", "AI engineer"]), (None, ["数据"])]
+
+
+def test_campus_page_lists_cycles(spark):
+    jobs = spark.sql("select 'a' as id, 'Acme' as company, '2027届校园招聘' as title, '校招' as job_type, 'https://x/campus/1' as jd_url, 'x' as summary, '' as experience, cast(null as int) as grad_class, 'active' as status, timestamp '2024-08-01' as last_seen_at")
+    dim = spark.sql("select * from values (0, 'Acme', '%acme%'), (1, 'Other', '%other%') as t(pos, name, pattern)")
+    sources = spark.sql("select 1 as id, 'Acme' as company, true as enabled, 'campus' as board")
+    cycles = spark.sql("""select * from values (1, 7, '秋招', '正式批', '开放', 9, 10, 'verified', date '2030-01-01'), (2, 7, '秋招', '提前批', '开放', 7, 8, 'verified', null),
+      (3, 7, '秋招', '提前批', '开放', 6, 8, 'draft', null), (4, 7, '春招', '补录', '开放', 3, 4, 'verified', date '2020-01-01') as t(id, company_id, season, batch, event, month_start, month_end, verify_status, valid_until)""")
+    profiles = spark.createDataFrame([(0, 7, "ACME Inc.", ["x"])], "pos int, profile_id int, name string, aliases array<string>")
+    rows = {r["name"]: r for r in CA.campus_page(jobs, dim, sources, "2024-08-02 00:00:00", cycles, profiles).collect()}
+    assert [(c["id"], c["batch"]) for c in rows["Acme"]["cycles"]] == [(2, "提前批"), (1, "正式批")] and rows["Other"]["cycles"] is None and rows["Acme"]["window"] == "hiring"
