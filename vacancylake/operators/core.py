@@ -81,6 +81,21 @@ def by_keys(df: DataFrame, keys: DataFrame, key: str, active_only: bool = False)
     return rows.join(keys.select(key).distinct(), key, "left_semi")
 
 
+#: tasks that the rows of one key are dealt to where a join has few keys
+SLOTS = 16
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on keys of few values: the rows of ``many`` are dealt to SLOTS parts of a key, ``few`` goes to each part.
+
+    ``few`` is copied SLOTS times, so it should be the side of fewer rows. Both sides keep their order of columns: keys,
+    ``many``, ``few``.
+    """
+    m = many.withColumn("_slot", F.pmod(F.xxhash64(*many.columns), F.lit(SLOTS)).cast("int"))
+    f = few.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+    return m.join(f, [*keys, "_slot"]).drop("_slot")
+
+
 GRAM = 3
 
 
@@ -121,20 +136,32 @@ def contains_join(texts: DataFrame, text_col: str, needles: DataFrame, needle_co
 
 
 def match_patterns(patterns: DataFrame, pattern_col: str, texts: DataFrame, text_col: str) -> DataFrame:
-    """Pairs with ``text ilike pattern``, by the longest literal run of the pattern."""
-    p = patterns.withColumn("_lit", needle_of(pattern_col))
-    narrow = contains_join(texts, text_col, p, "_lit", F.expr(f"{text_col} ilike {pattern_col}")).drop("_lit")
+    """Pairs with ``text ilike pattern``, by the longest literal run of the pattern.
+
+    Distinct patterns meet distinct texts; rows of equal patterns or texts are handed their pairs at the end.
+    """
+    p = patterns.select(pattern_col).distinct().withColumn("_lit", needle_of(pattern_col))
+    names = texts.select(text_col).distinct()
+    narrow = contains_join(names, text_col, p, "_lit", F.expr(f"{text_col} ilike {pattern_col}")).select(text_col, pattern_col)
     # a pattern of wildcards only has nothing to look up: "_" runs are met by length, "%" meets every text
     bare = p.where((F.col("_lit") == "") & (text(pattern_col) != "")).drop("_lit")
     bare = bare.withColumn("_key", F.when(F.col(pattern_col).contains("%"), -1).otherwise(F.length(pattern_col)))
-    keyed = texts.withColumn("_key", F.explode(F.array(F.length(text(text_col)), F.lit(-1))))
-    wide = keyed.join(bare, "_key").where(F.expr(f"{text_col} ilike {pattern_col}")).drop("_key")
-    return narrow.unionByName(wide.select(*narrow.columns))
+    keyed = names.withColumn("_key", F.explode(F.array(F.length(text(text_col)), F.lit(-1))))
+    wide = keyed.join(bare, "_key").where(F.expr(f"{text_col} ilike {pattern_col}"))
+    pairs = narrow.union(wide.select(text_col, pattern_col))
+    found = texts.join(pairs, text_col)
+    if patterns.columns != [pattern_col]:
+        found = spread_join(found, patterns, [pattern_col])
+    return found.select(*texts.columns, *patterns.columns)
 
 
 def assign_first(texts: DataFrame, text_col: str, dim: DataFrame, needle_col: str, position: str) -> DataFrame:
-    """Each text with the first dimension row, by position, whose needle it contains."""
-    return latest_per_key(contains_join(texts, text_col, dim, needle_col), [text_col], [F.col(position)])
+    """Each text with the first dimension row, by position, whose needle it contains.
+
+    Of rows with one needle only the first can win, so the others leave before the texts are met.
+    """
+    first = latest_per_key(dim.withColumn("_folded", F.lower(text(needle_col))), ["_folded"], [F.col(position)]).drop("_folded")
+    return latest_per_key(contains_join(texts, text_col, first, needle_col), [text_col], [F.col(position)])
 
 
 def semi_by_any(left: DataFrame, right: DataFrame, keys: Sequence[Sequence[str]], id_col: str) -> DataFrame:
