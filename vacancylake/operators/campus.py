@@ -48,8 +48,12 @@ def surges(snapshots: DataFrame) -> DataFrame:
 def recent_surges(dim: DataFrame, snapshots: DataFrame, now, days: int = 7) -> DataFrame:
     """Newest recent surge per list entry, by the company name of the source."""
     hot = snapshots.where(F.col("surge") & (F.col("captured_at") >= at(now) - F.expr(f"interval {days} days")))
-    hit = C.contains_join(hot.select("company").distinct(), "company", dim.select("pos", "needle"), "needle")
-    return hot.join(hit, "company").groupBy("pos").agg(F.max_by("campus_count", F.struct("captured_at", "source_id")).alias("campus_count"), F.max("captured_at").alias("captured_at"))
+    newest = F.max(F.struct("captured_at", "source_id", "campus_count"))
+    # the newest of a company, then of a needle: list rows of one needle share its answer
+    by_company = hot.groupBy("company").agg(newest.alias("_best"))
+    entries = dim.select("pos", F.lower(text("needle")).alias("_key"))
+    hit = C.contains_join(by_company, "company", entries.select("_key").distinct(), "_key").groupBy("_key").agg(F.max("_best").alias("_best"))
+    return entries.join(hit, "_key").groupBy("pos").agg(F.max("_best").alias("_best")).select("pos", "_best.campus_count", "_best.captured_at")
 
 
 def crawl_campus_predicate(job_type="job_type", title="title") -> Column:
