@@ -98,15 +98,18 @@ def coverage_worst(runs: DataFrame, sources: DataFrame, n: int = 40) -> DataFram
 
 def list_fetch_coverage(patterns: DataFrame, sources: DataFrame, runs: DataFrame) -> DataFrame:
     """Latest runs of all sources behind each list pattern, summed; unknown totals stay null, never 0."""
-    s = sources.where("enabled").select(F.col("id").alias("source_id"), "company")
-    matched = C.match_patterns(patterns, "pattern", s, "company").select("pos", "pattern", "source_id").distinct()
+    s = sources.where("enabled").select(F.col("id").alias("source_id"), "company").distinct()
+    # list rows of one pattern share its sources: matched and summed once per distinct pattern
+    matched = C.match_patterns(patterns.select("pattern").distinct(), "pattern", s, "company").select("pattern", "source_id").distinct()
     latest = C.latest_per_key(runs, ["source_id"], [F.col("started_at").desc_nulls_last(), F.col("id").desc()])
     joined = matched.join(latest.select("source_id", "reported_total", F.coalesce("jobs_found", F.lit(0)).alias("fetched"),
                                         F.coalesce("finished_at", "started_at").alias("last_run_at")), "source_id", "left")
-    totals = joined.groupBy("pos", "pattern").agg(
+    totals = joined.groupBy("pattern").agg(
         F.sum("reported_total").cast("int").alias("reported_total"), F.coalesce(F.sum("fetched"), F.lit(0)).cast("int").alias("fetched"),
         F.max("last_run_at").alias("last_run_at"))
-    out = patterns.select("pos", "pattern").join(totals, ["pos", "pattern"], "left").withColumn("fetched", F.coalesce("fetched", F.lit(0)))
+    # a row without pos is no list entry and takes no totals
+    entry = patterns.select("pos", "pattern").withColumn("_key", F.when(F.col("pos").isNotNull(), F.col("pattern")))
+    out = entry.join(totals.withColumnRenamed("pattern", "_key"), "_key", "left").drop("_key").withColumn("fetched", F.coalesce("fetched", F.lit(0)))
     return out.withColumn("measurable", F.col("reported_total").isNotNull()).withColumn("coverage_pct", pct("fetched", "reported_total"))
 
 
