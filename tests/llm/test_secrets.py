@@ -102,3 +102,10 @@ def test_decoys_count_by_their_share():
     assert secrets.levels(real | null)[False, 2] < 0.4  # 11 of 10001 decoys: some 0.2 of 200 candidates
     assert (False, 2) not in secrets.levels(real | null | {(False, 2, True, 0): 5000})
     assert secrets.levels({}) == secrets.FIXED
+
+
+def test_decoys_come_from_the_whole_text():
+    words = " ".join(f"{a}{b}ation{c}ing" for a in ("con", "pre", "sub") for b in ("form", "port", "vers") for c in ("al", "ist", "ment"))
+    late = "x " * 2500 + words  # the words begin after 5000 characters
+    decoys = secrets.decoys
+    assert decoys(words) and decoys(late) and len(decoys(words + " " * 4000 + words)) == 2 * len(decoys(words))

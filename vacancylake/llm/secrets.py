@@ -31,7 +31,7 @@ RANKS = {name: {c: i for i, c in enumerate(chars)} for name, chars in ALPHABETS}
 LENGTH_CLASSES = (20, 28, 40, 64)  # lower ends
 SPREAD = (8, 12, 24, 40)  # lengths that decoys of a class take from its lower end on
 WORD = re.compile(r"(?<![A-Za-z])[A-Za-z]{5,19}(?![A-Za-z])")  # long enough to be parts of a compound
-JOINTS, WORD_CHARS = ("", "_", "-", "/"), 4000  # between the words of a decoy; of each text, characters that its decoys are made from
+JOINTS, WORD_CHARS = ("", "_", "-", "/"), 4000  # between the words of a decoy; characters of a text that a pair of decoys is made from
 Q, FLOOR, BINS = 0.05, 1e-3, 40  # allowed share of false discoveries; smallest p-value of a random text; bins of -log10(p) by 0.1
 LEAST_REAL, LEAST_DECOYS = 20, 200  # classes with fewer candidates or decoys take their level from FIXED
 #: (letters only, length class) to the p-value that one in a hundred decoys of the sf0.1 documents reaches, FLOOR at least. Almost all runs of
@@ -123,10 +123,17 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, bool, float]]:
 
 
 def decoys(text: str) -> list[tuple[int, int, int, bool, bool, float]]:
-    """The same for two runs that are surely words: different words of five letters or more of the text, written together as one long word and as a name
-    with a joint and a number. Place, length and spelling follow from the text; on them the battery's false alarms are counted."""
-    words = list(dict.fromkeys(WORD.findall(text[:WORD_CHARS].lower())))
-    h = zlib.crc32(text[:WORD_CHARS].encode("utf-8", "surrogatepass"))
+    """The same for runs that are surely words, two for each stretch of WORD_CHARS characters of the whole text: different words of five letters or
+    more that begin in the stretch, written together as one long word and as a name with a joint and a number. Place, length and spelling follow
+    from the stretch; on them the battery's false alarms are counted."""
+    begun: dict[int, list[str]] = {0: []}
+    for m in WORD.finditer(text):
+        begun.setdefault(m.start() // WORD_CHARS, []).append(m[0].lower())
+    return [d for i, words in begun.items() for d in _decoys(text[i * WORD_CHARS:(i + 1) * WORD_CHARS], list(dict.fromkeys(words)))]
+
+
+def _decoys(stretch: str, words: list[str]) -> list[tuple[int, int, int, bool, bool, float]]:
+    h = zlib.crc32(stretch.encode("utf-8", "surrogatepass"))
     k = h % len(LENGTH_CLASSES)
     length = LENGTH_CLASSES[k] + (h >> 2) % SPREAD[k]
     at = (h >> 8) % max(1, len(words))
