@@ -43,17 +43,13 @@ def test_token_search_measures_without_pairs(spark):
     assert rows(pairs) == rows(told) == [(0, 2, "1", "3"), (1, 2, "1", "3"), (2, 2, "1", "3"), (3, 2, "1", "3"), (4, 2, "1", "3"), (9, 1, "3", "3")]
 
 
-def test_checkpointed_computes_rows_once(spark):
+def test_checkpointed_is_a_compressed_table(spark):
+    from urllib.parse import urlparse
+    import os
     from vacancylake.sources.tables import checkpointed
-    seen = spark.sparkContext.accumulator(0)
-
-    def note(batches):
-        for b in batches:
-            seen.add(len(b))
-            yield b
-
-    out = checkpointed(spark.range(100, numPartitions=2).mapInPandas(note, "id long"))
-    assert out.count() == 100 and seen.value == 100
+    out = checkpointed(spark.range(200_000).selectExpr("concat('posting-', id % 7) as id"))
+    files = out.inputFiles()
+    assert out.count() == 200_000 and files and sum(os.path.getsize(urlparse(f).path) for f in files) < 400_000
 
 
 def test_patterns_meet_distinct_texts(spark, monkeypatch):
