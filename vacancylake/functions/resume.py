@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .base import any_of, col, let, text
+from .base import any_contains, col, let, text
 
 # fixed values: vocabularies of resumes, in order of rank
 ROLES = [
@@ -31,11 +31,12 @@ def _strip(c) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
 
-def in_order(c: Column, terms) -> Column:
-    """Terms found in a text whatever their case, by first place, shorter ones first at one place."""
-    low = F.lower(c)
-    found = F.array(*[F.struct(F.instr(low, t.lower()).alias("at"), F.lit(len(t)).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(terms)])
-    return F.transform(F.array_sort(F.filter(found, lambda x: x["at"] > 0)), lambda x: x["t"])
+def in_order(low: Column, terms) -> Column:
+    """Terms found in a lower-case text, by first place, shorter ones first at one place."""
+    # places are sought only for terms that a byte search finds
+    found = F.array_compact(F.array(*[F.when(low.contains(t.lower()), F.struct(F.instr(low, t.lower()).alias("at"), F.lit(len(t)).alias("n"), F.lit(i).alias("i"), F.lit(t).alias("t")))
+                                      for i, t in enumerate(terms)]))
+    return F.transform(F.sort_array(found), lambda x: x["t"])
 
 
 def _listed(rules) -> Column:
@@ -43,18 +44,36 @@ def _listed(rules) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(label)) for label, cond in rules]), lambda x: x.isNotNull())
 
 
-def _roles(c: Column) -> Column:
-    return _listed([(role, any_of(F.lower(c).contains(a.lower()) for a in aliases)) for role, aliases in ROLES])
+def _roles(low: Column) -> Column:
+    return _listed([(role, any_contains(low, [a.lower() for a in aliases])) for role, aliases in ROLES])
+
+
+def _words(pattern: str) -> list[str]:
+    """Words of a pattern that is nothing but alternatives."""
+    return pattern.removeprefix("(?i)").split("|")
+
+
+def _names(c: Column, pattern: str) -> Column:
+    """Whether a text holds a word of the pattern, by byte search."""
+    return any_contains(c, _words(pattern))
+
+
+def _told(plain: Column, low: Column, pattern: str) -> Column:
+    """Whether a pattern occurs; without regard to case it is matched only where the lower-case text holds a word of it."""
+    if not pattern.startswith("(?i)"):
+        return _names(plain, pattern)
+    return any_contains(low, [w.lower() for w in _words(pattern)]) & plain.rlike(pattern)
 
 
 def resume_lines(c) -> Column:
     """Trimmed lines with something in them."""
-    plain = F.regexp_replace(F.translate(text(c), "\r\t", "\n "), " {2,}", " ")
+    one = F.replace(F.replace(text(c), F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit(" "))
+    plain = let(one, lambda t: F.when(t.contains("  "), F.regexp_replace(t, " {2,}", " ")).otherwise(t))
     return F.filter(F.transform(F.split(plain, r"\n+"), _strip), lambda x: x != "")
 
 
 def _section(lines: Column, pattern: str) -> Column:
-    return F.slice(F.transform(F.filter(lines, lambda x: x.rlike(pattern)), lambda x: F.substring(x, 1, LINE_CHARS)), 1, LINES)
+    return F.slice(F.transform(F.filter(lines, lambda x: _names(x, pattern)), lambda x: F.substring(x, 1, LINE_CHARS)), 1, LINES)
 
 
 def _summary(lines: Column) -> Column:
@@ -66,28 +85,28 @@ def parse_resume(c) -> Column:
     experience, education_summary, experience_summary, summary). A missing or blank text has the general headline and no entries."""
     def read(x):
         lines, plain = x["lines"], x["plain"]
-        first = lambda pattern: F.get(F.filter(lines, lambda l: l.rlike(pattern)), F.lit(0))
-        intent = first(INTENT)
-        head = F.when(intent.isNotNull(), _strip(F.regexp_replace(intent, INTENT_LABEL, ""))).otherwise(F.coalesce(first(MEANINGFUL), F.get(lines, F.lit(0)), F.lit(NO_HEADLINE)))
-        return F.struct(F.substring(head, 1, HEADLINE_CHARS).alias("headline"), plain.alias("plain"), lines.alias("lines"))
+        first = lambda pattern: F.get(F.filter(lines, lambda l: _names(l, pattern)), F.lit(0))
+        head = let(first(INTENT), lambda intent: F.when(intent.isNotNull(), _strip(F.regexp_replace(intent, INTENT_LABEL, "")))
+                   .otherwise(F.coalesce(first(MEANINGFUL), F.get(lines, F.lit(0)), F.lit(NO_HEADLINE))))
+        return F.struct(F.substring(head, 1, HEADLINE_CHARS).alias("headline"), plain.alias("plain"), F.lower(plain).alias("low"), lines.alias("lines"))
 
     def profile(x):
-        head, plain, lines = x["headline"], x["plain"], x["lines"]
-        roles = let(_roles(head), lambda r: F.when(F.size(r) > 0, r).otherwise(_roles(plain)))
-        named = in_order(F.array_join(F.filter(lines, lambda l: l.rlike(SKILL_LINE)), "\n"), SKILLS)
-        return F.struct(head.alias("headline"), plain.alias("plain"), roles.alias("roles"), in_order(plain, CITIES).alias("cities"), named.alias("named"), in_order(plain, SKILLS).alias("all"),
+        head, low, lines = x["headline"], x["low"], x["lines"]
+        roles = let(let(F.lower(head), _roles), lambda r: F.when(F.size(r) > 0, r).otherwise(_roles(low)))
+        named = let(F.lower(F.array_join(F.filter(lines, lambda l: _names(l, SKILL_LINE)), "\n")), lambda t: in_order(t, SKILLS))
+        return F.struct(head.alias("headline"), x["plain"].alias("plain"), low.alias("low"), roles.alias("roles"), in_order(low, CITIES).alias("cities"), named.alias("named"), in_order(low, SKILLS).alias("all"),
                         _section(lines, EDUCATION_LINE).alias("education"), _section(lines, EXPERIENCE_LINE).alias("experience"))
 
     def finish(x):
-        plain = x["plain"]
+        plain, low = x["plain"], x["low"]
         extra = F.filter(x["all"], lambda s: ~(F.array_contains(x["roles"], "数据分析") & (s == "数据分析")) & ~F.array_contains(x["named"], s))
-        stage = F.coalesce(*[F.when(plain.rlike(p), F.lit(s)) for s, p in STAGES], F.lit(NO_STAGE))
+        stage = F.coalesce(*[F.when(_told(plain, low, p), F.lit(s)) for s, p in STAGES], F.lit(NO_STAGE))
 
         def whole(skills):
             part = lambda label, xs: F.when(F.size(xs) > 0, F.concat(F.lit(label), F.array_join(xs, "、")))
             told = F.concat_ws("；", F.nullif(x["headline"], F.lit("")), part("方向：", x["roles"]), part("城市：", x["cities"]), part("技能：", F.slice(skills, 1, SUMMARY_SKILLS)))
             return F.struct(x["headline"].alias("headline"), x["roles"].alias("target_roles"), x["cities"].alias("target_locations"), skills.alias("skills"),
-                            _listed([(label, plain.rlike(p)) for label, p in INDUSTRIES]).alias("industries"), stage.alias("stage"), x["education"].alias("education"), x["experience"].alias("experience"),
+                            _listed([(label, _told(plain, low, p)) for label, p in INDUSTRIES]).alias("industries"), stage.alias("stage"), x["education"].alias("education"), x["experience"].alias("experience"),
                             _summary(x["education"]).alias("education_summary"), _summary(x["experience"]).alias("experience_summary"), told.alias("summary"))
         return let(F.concat(x["named"], extra), whole)
 
