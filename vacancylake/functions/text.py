@@ -6,7 +6,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, functions as F
 
 from . import fixed as V
-from .base import (any_contains, any_of, ascii_edges, col, extract, extract_all, find, first_rule, let, js_round,
+from .base import (BLANKS, any_contains, any_of, ascii_edges, col, extract, extract_all, find, first_rule, let, js_round,
                    quoted_alternation, squeeze, strip_spaces, text, unicode_edges)
 
 
@@ -178,36 +178,43 @@ def education_rank(c) -> Column:
         for rank, pattern in V.EDUCATION_RANK_EXTRA:
             chain = chain.when(t.rlike(pattern), F.lit(rank))
         return chain
-    return let(F.lower(strip_spaces(text(c))), rank_of)
+    # most levels are short words without a blank in them
+    return let(F.lower(text(c)), lambda t: F.when(t.rlike(f"[{BLANKS}]"), let(F.lower(strip_spaces(text(c))), rank_of)).otherwise(rank_of(t)))
 
 
 def _education_clauses(c) -> Column:
     return F.filter(F.transform(F.split(text(c), r"(?i)[，,、;；]|\s+(?:and|or)\s+|或"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _ranked_clauses(c) -> Column:
+    """Clauses that name a level: struct(rank, hard), hard unless the clause is a mere wish."""
+    ranked = F.transform(_education_clauses(c), lambda x: F.struct(education_rank(x).alias("rank"), (~let(F.lower(x), lambda t: find(t, V.EDUCATION_PREFERRED))).alias("hard")))
+    return F.filter(ranked, lambda r: r["rank"].isNotNull())
+
+
+def _floor_of(ranked: Column) -> Column:
+    return F.array_min(F.transform(F.filter(ranked, lambda r: r["hard"]), lambda r: r["rank"]))
+
+
 def education_floor(c) -> Column:
     """Lowest rank among the clauses that are real requirements."""
-    hard = F.filter(_education_clauses(c), lambda x: ~find(F.lower(x), V.EDUCATION_PREFERRED))
-    return F.array_min(F.filter(F.transform(hard, education_rank), lambda r: r.isNotNull()))
+    return _floor_of(_ranked_clauses(c))
 
 
 def education_match(c, want) -> Column:
     """pass / degrade / reject of a posting's requirement against a wanted level."""
-    floor = education_floor(c)
-    saw = F.exists(_education_clauses(c), lambda x: education_rank(x).isNotNull())
     wanted = education_rank(want)
-    return (F.when(text(want) == "", "pass")
-             .when(F.trim(text(c)) == "", "degrade")
-             .when(floor.isNull(), F.when(saw, "pass").otherwise("degrade"))
-             .when(wanted.isNotNull() & (floor > wanted), "reject")
-             .otherwise("pass"))
+    judged = lambda r: (F.when(r["floor"].isNull(), F.when(r["saw"], "pass").otherwise("degrade"))
+                        .when(wanted.isNotNull() & (r["floor"] > wanted), "reject").otherwise("pass"))
+    read = let(let(_ranked_clauses(c), lambda r: F.struct(_floor_of(r).alias("floor"), (F.size(r) > 0).alias("saw"))), judged)
+    return F.when(text(want) == "", "pass").when(F.trim(text(c)) == "", "degrade").otherwise(read)
 
 
-def sponsorship(c) -> Column:
+def sponsorship(*cs) -> Column:
     def signal(t):
         has = lambda ps: any_of(find(t, p, unicode_edges) for p in ps)
         return (F.when(has(V.SPONSOR_NONE), "none").when(has(V.SPONSOR_AVAILABLE), "available").otherwise("unknown"))
-    return let(F.lower(text(c)), signal)
+    return let(lower_joined(*cs), signal)
 
 
 def salary_usd(c) -> Column:
