@@ -1,5 +1,6 @@
 """Registered queries over tables written by the test: whole tables are read, whichever side Spark broadcasts."""
 from vacancylake.plans import catalog
+from vacancylake.plans.registry import Tables
 
 POSTS = 60
 
@@ -25,3 +26,17 @@ def test_career_notes_reads_every_user_and_company(spark, tmp_path):
     # claim i is of company o_custkey % 50 and of dimension i % 5; users meet the suppliers of their nation
     want = sorted((u, s, i, "caution" if i % 5 == 3 else "path_note") for u in range(30) for s in range(8) for i in range(POSTS) if u % 2 == s % 2 and i % 8 == s and i % 5 in (3, 4))
     assert got == want and any(u % 20 != s % 20 for u, s, _, _ in got)
+
+
+def test_jobs_join_when_postings_are_the_broadcast_side(spark, tmp_path):
+    folder = write(spark, tmp_path, words=200)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        # between the size of the postings and that of the texts
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+        some = spark.range(0, POSTS, 7).selectExpr("id as l_orderkey")
+        jobs = Tables(spark, folder).jobs.where("summary is not null").join(some, "l_orderkey", "left_semi").select("l_orderkey", "summary")
+        rows = jobs.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r["l_orderkey"], r["summary"].split(" ")[1]) for r in rows) == [(k, str(k % 40)) for k in range(0, POSTS, 7)]
