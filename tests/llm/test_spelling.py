@@ -101,3 +101,12 @@ def test_signatures_and_classes(spark):
     classes = spelling.letter_classes(df)
     assert sorted("".join(classes)) == sorted(spelling.ALPHABET) and len(classes) == spelling.CLASSES
     assert spelling.signatures(df, classes).count() == 30
+
+
+def test_no_side_of_the_joins_is_broadcast(spark, monkeypatch):
+    made, real = [], spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, name="part": made.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    df = spark.createDataFrame(list(vocabulary(5, 60).items()), "word string, n long")
+    made.append(spelling.variant_groups(df)._jdf.queryExecution().executedPlan().toString())
+    # every table here is tiny, so Spark would broadcast each one, the exploded signatures too
+    assert sum("Join" in p for p in made) > 3 and not any("BroadcastHashJoin" in p for p in made)

@@ -63,13 +63,18 @@ def signatures(vocabulary: DataFrame, classes: list[str]) -> DataFrame:
     return vocabulary.withColumn("ordered", ordered).select(F.explode(F.array(*keys)).alias("key"), "word", "n")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table as a side of a join that is never broadcast: Spark sizes it by its compressed files and takes an explode for one row per row."""
+    return df.hint("merge")
+
+
 def near_pairs(vocabulary: DataFrame, classes: int = CLASSES) -> DataFrame:
     """(word, n, other, other_n), each unordered pair once: distinct words one insertion, deletion or replacement apart.
 
     Words need at least 2 * AFFIX letters. All pairs of one key are verified in the join; only near ones leave it.
     """
     made = signatures(vocabulary, letter_classes(vocabulary, classes))
-    a, b = made.alias("a"), made.alias("b")
+    a, b = made.alias("a"), shuffled(made).alias("b")
     near = (F.abs(F.length("a.word") - F.length("b.word")) <= 1) & (F.levenshtein("a.word", "b.word", 1) == 1)
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.word") < F.col("b.word")) & near)
     return pairs.select("a.word", "a.n", F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
@@ -85,14 +90,14 @@ def variant_groups(vocabulary: DataFrame, ratio: int = RATIO) -> DataFrame:
     pairs = stored(near_pairs(vocabulary), "pairs")
     both = pairs.union(pairs.select("other", "other_n", "word", "n"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
-    made = vocabulary.join(best, "word", "left")
+    made = vocabulary.join(shuffled(best), "word", "left")
     takes = F.coalesce(-F.col("best.less") >= ratio * F.col("n"), F.lit(False))
     made = stored(made.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("best.other")).alias("form"), F.when(takes, -F.col("best.less")).alias("form_n")), "forms")
     hops = made.where("form is not null").select("word", "form")
     for _ in range(math.ceil(math.log2(63 / math.log2(ratio)))):  # counts below 2^63 that grow by ratio; each jump doubles the reach
         far = hops.select(F.col("word").alias("form"), F.col("form").alias("far"))
-        hops = stored(hops.join(far, "form", "left").select("word", F.coalesce("far", "form").alias("form")), "hops")
-    return made.join(hops.select("word", F.col("form").alias("root")), "word", "left").withColumn("root", F.coalesce("root", "word"))
+        hops = stored(hops.join(shuffled(far), "form", "left").select("word", F.coalesce("far", "form").alias("form")), "hops")
+    return made.join(shuffled(hops.select("word", F.col("form").alias("root"))), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def corpus_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
